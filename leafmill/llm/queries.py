@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, quality, suffix
+from . import counts, near, packing, quality, sentences, suffix, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(_documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(_documents(spark, sf_dir))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.decode_documents(sentences.encode_documents(_documents(spark, sf_dir)))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(_documents(spark, sf_dir))
 
@@ -23,5 +39,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op8_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_packing, op3_minhash_near_dedup, op4_document_fingerprints, op6_token_counts, op7_sentencepiece,
+        op8_suffix_array_dedup, op10_quality_rules,
+    )
+}
 ORACLES: dict[str, str] = {}
