@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, near, packing, quality, sentences, suffix, winnow
+from . import counts, hidden, licenses, near, packing, quality, secrets, sentences, suffix, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -23,6 +27,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(_documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden.lm_scores(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_documents(spark, sf_dir))
 
@@ -35,6 +43,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(_documents(spark, sf_dir))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -42,8 +54,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_packing, op3_minhash_near_dedup, op4_document_fingerprints, op6_token_counts, op7_sentencepiece,
-        op8_suffix_array_dedup, op10_quality_rules,
+        op1_license_scan, op2_packing, op3_minhash_near_dedup, op4_document_fingerprints, op5_lm_scoring, op6_token_counts,
+        op7_sentencepiece, op8_suffix_array_dedup, op9_secret_scan, op10_quality_rules,
     )
 }
 ORACLES: dict[str, str] = {}
