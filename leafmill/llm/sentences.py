@@ -38,8 +38,8 @@ class Lattice:
     def __init__(self, pieces: P.Pieces):
         self.p, self.ids = pieces, pieces.pieces
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.memory = P.Memory()
+        self._undo()
         chars = sorted({c for p in self.ids for c in p})
         self.cls = np.zeros(0x110000, np.int32)
         self.cls[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -54,40 +54,65 @@ class Lattice:
         c = self.cls[cps]
         return ~self.soft[c[:-1] * self.width + c[1:]]
 
-    def merges(self, text: str) -> list[str]:
-        """The model's merges on a short text, the plain way."""
+    def merges(self, text: str, but: str = "") -> list[str]:
+        """The model's merges on a short text, the plain way; ``but`` is never made."""
         s, ids, scores = list(text), self.ids, self.p.scores
         while True:
             best, at = -np.inf, -1
             for i in range(len(s) - 1):
                 k = ids.get(s[i] + s[i + 1])
-                if k is not None and scores[k] > best:
+                if k is not None and scores[k] > best and s[i] + s[i + 1] != but:
                     best, at = scores[k], i
             if at < 0:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
+    def _undo(self) -> None:
+        """For each piece the two that its last merge joins (None for characters), and the rank of that merge."""
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.rank: dict[str, float] = {}
+        for p, k in self.ids.items():
+            if len(p) > 1:
+                # the merges of a piece but the last leave two; pieces that merges don't reach are never neighbours
+                s = self.merges(p, p)
+                self.parts[p] = (s[0], s[1]) if len(s) == 2 else None
+                self.rank[p] = -self.p.scores[k]
+
     def fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces may be neighbours; ``left`` is '' at the start of a text."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merges(left + right) == ([left, right] if left else [right])
-        return known
+        """Whether the two pieces may be neighbours; ``left`` is '' at the start of a text.
+
+        The merges of both sides are undone, the last one first, while no merge across
+        their boundary would have come before the one undone; of equal ranks the
+        leftmost merge comes first.
+        """
+        if P.SPACE + P.SPACE in left + right:  # runs of the space mark share one rank
+            return self.merges(left + right) == ([left, right] if left else [right])
+        if not left:
+            return len(right) == 1 or self.parts.get(right) is not None
+        parts, rank, limit, inclusive = self.parts, self.rank, np.inf, True
+        if (len(left) > 1 and parts.get(left) is None) or (len(right) > 1 and parts.get(right) is None):
+            return False
+        while True:
+            across = rank.get(left + right)
+            if across is not None and (across < limit or (inclusive and across == limit)):
+                return False
+            a, b = rank.get(left, -1.0) if len(left) > 1 else -1.0, rank.get(right, -1.0) if len(right) > 1 else -1.0
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                left, limit, inclusive = parts[left][1], a, False
+            else:
+                right, limit, inclusive = parts[right][0], b, True
 
     def path(self, text: str) -> list[str]:
         """The pieces of a text: forward over the lattice, then back along the only path."""
-        n, ids, longest, fits, pairs = len(text), self.ids, self.longest, self.fits, self.pairs
+        n, ids, longest, fits = len(text), self.ids, self.longest, self.fits
         last = [""] * (n + 1)
         for i in range(1, n + 1):
             for k in range(max(0, i - longest), i):
                 piece = text[k:i]
                 if (piece in ids or k == i - 1) and (last[k] or not k):
-                    ok = pairs.get((last[k], piece))
-                    if ok is None:
-                        ok = fits(last[k], piece)
-                    if ok:
+                    if fits(last[k], piece):
                         last[i] = piece
                         break
         out = []
@@ -276,7 +301,7 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
 
     def split(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for s in C.slices(batch) for r in s.rows.to_pylist()):
                 text = marked(row["text"])
                 cuts = _cuts(len(text), chunk)
                 for no, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -285,7 +310,7 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
 
     def matrices(batches):
         lattice = _lattice(pieces, path)
-        for batch in batches:
+        for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch)):
             rows = [lattice.transfer(r["text"], r["a"], r["b"], r["no"] == 0, r["last"]) for r in batch.to_pylist()]
             yield pa.record_batch([batch.column("_k"), batch.column("no"), pa.array([[m.to_bytes(-(-m.bit_length() // 8), "little") for m in r] for r in rows], pa.list_(pa.binary()))], ["_k", "no", "matrix"])
 
@@ -308,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
 
     def trace(batches):
         lattice = _lattice(pieces, path)
-        for batch in batches:
+        for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch)):
             texts = []
             for r in batch.to_pylist():
                 t = r["text"]
@@ -330,13 +355,23 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
     return short.unionByName(whole_ids)
 
 
+def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 20):
+    """Cuts a batch between rows into pieces of about ``limit`` ids."""
+    ends = batch.column("ids").offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def decode_documents(encoded: DataFrame, path: str = P.MODEL) -> DataFrame:
     """``doc_id, ids, text``: the text that the ids stand for; null ids have the empty text."""
     C.prepare(encoded.sparkSession)
     back = decode(P.load(path))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in _by_ids(whole)):
             ids = batch.column("ids")
             count = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy().astype(np.int64)
             flat, sizes = back(ids.flatten().to_numpy(), count)
