@@ -357,8 +357,12 @@ def fit_windows(texts: list[str], marks: list[list[tuple[int, int]]], steps: int
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = STEPS) -> Field | None:
     """Trains on windows of at most ``rows`` documents, those with the least hash of (doc_id, text)."""
     C.prepare(docs.sparkSession)
-    chosen = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    texts = [r.text for r in chosen.orderBy("h", "text").limit(rows).collect()]  # at most ``rows``; windows for training come from here
+    # at most ``rows`` hashes come to the driver, then at most as many texts
+    hashed = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in least], "h long")
+    found = hashed.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text")).collect() if least else []
+    texts = [r.text for r in sorted(found, key=lambda r: r.h)]
     return fit_windows(*examples(texts), steps) if texts else None
 
 
