@@ -130,7 +130,7 @@ MPL-2.0 | 80 | mozilla public subject terms | subject to the terms of the Mozill
 MPL-2.0 | 80 | mozilla public 2 | Mozilla Public Licen[cs]e,? (?:Version |v\.? ?)?2(?:\.0)?\b
 MPL-2.0 | 60 | mozilla.org mpl 2.0 | https?://(?:www\.)?mozilla\.org/(?:en-US/)?MPL/2\.0/?
 MPL | 70 | mozilla public licen | Mozilla Public Licen[cs]e\b
-MPL | 50 | mpl | \bMPL(?:-?[12]\.[01])?\b
+MPL | 50 | mpl | \b(?-i:MPL)(?:-?[12]\.[01])?\b
 EPL-1.0 | 90 | spdx epl-1.0 | SPDX-License-Identifier: \(?EPL-1\.0
 EPL-1.0 | 80 | eclipse public 1.0 | Eclipse Public Licen[cs]e,? (?:-|Version|v\.?) ?v?1\.0\b
 EPL-1.0 | 60 | eclipse.org epl-v10 | https?://(?:www\.)?eclipse\.org/legal/epl-v10(?:\.html)?
