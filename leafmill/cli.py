@@ -82,13 +82,13 @@ def from_warc(spark, a) -> None:
 
 
 def to_warc(spark, a) -> None:
-    import time
+    from datetime import UTC, datetime
 
     from .functions import html as H
     from .sources import archive, warc
 
     docs = archive.read_archive(spark, a.source, **_options(a)).select("doc_idx", H.decode_html("encoded").alias("html"))
-    warc.write_warc(warc.documents_to_records(docs, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())), a.target)
+    warc.write_warc(warc.documents_to_records(docs, datetime.now(UTC).isoformat(timespec="seconds").replace("+00:00", "Z")), a.target)
 
 
 def warc_encode(spark, a) -> None:

@@ -33,9 +33,9 @@ def to_text(html) -> str:
 
 
 class _Parser(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list = []
+    def __init__(self, found: list):
+        HTMLParser.__init__(self)  # which resolves character references
+        self.found = found
         self.raw = False
 
     def handle_starttag(self, tag, attrs):
@@ -63,9 +63,9 @@ class _Parser(HTMLParser):
 
 def parse(html) -> list[tuple]:
     """Nodes of a page: no tree repair, white-space-only text dropped unless it is a space within a line."""
-    p = _Parser()
-    p.feed(to_text(html))
-    return p.found
+    found: list[tuple] = []
+    _Parser(found).feed(to_text(html))
+    return found
 
 
 class Codec:

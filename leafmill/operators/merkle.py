@@ -81,29 +81,30 @@ def verify_root(commitment: DataFrame, docs: DataFrame, digest: str = "doc_sha25
     return derived.crossJoin(F.broadcast(expected)).select((F.col("derived") == F.col("expected")).alias("match"), "derived", "expected")
 
 
-SIGNED = ("corpus", "doc_count", "merkle_root_hex", "ts", "public_key")
+SIGNED = tuple("corpus doc_count merkle_root_hex ts public_key".split())
+_PLAIN = json.JSONEncoder(separators=(",", ":"), sort_keys=True)
+_HELP = b"Derive the Merkle root of the documents and compare it with merkle_root_hex; check the signature over the canonical JSON."
+_PARTS = {"said": "commitment.json", "proof": "commitment.json.ots", "stream": "stream.bin", "help": "VERIFY.txt"}
 
 
 def canonical_json(commitment: dict) -> bytes:
     """What is signed: the signed fields, keys in order, no blanks."""
-    return json.dumps({k: commitment[k] for k in SIGNED if k in commitment}, sort_keys=True, separators=(",", ":")).encode()
+    return _PLAIN.encode({k: commitment[k] for k in SIGNED if k in commitment}).encode()
 
 
 def write_bundle(path: str, commitment: dict, stream: bytes | None = None, proof: bytes | None = None) -> None:
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("commitment.json", json.dumps(commitment, indent=1, sort_keys=True))
-        if proof is not None:
-            z.writestr("commitment.json.ots", proof)
-        if stream is not None:
-            z.writestr("stream.bin", stream)
-        z.writestr("VERIFY.txt", "Derive the Merkle root of the documents and compare it with merkle_root_hex; check the signature over the canonical JSON.\n")
+    parts = {"said": json.dumps(commitment, indent=1).encode(), "proof": proof, "stream": stream, "help": _HELP}
+    with zipfile.ZipFile(path, mode="w", compression=zipfile.ZIP_DEFLATED) as z:
+        for part, data in parts.items():
+            if data is not None:
+                z.writestr(_PARTS[part], data)
 
 
 def verify_bundle(path: str) -> dict:
     """State of the signature and of the time proof: VALID, INVALID or SKIPPED where the library or part isn't there."""
     with zipfile.ZipFile(path) as z:
-        commitment = json.loads(z.read("commitment.json"))
-        proof = z.read("commitment.json.ots") if "commitment.json.ots" in z.namelist() else None
+        there = {part: z.read(name) for part, name in _PARTS.items() if name in z.namelist()}
+    commitment, proof = json.loads(there["said"]), there.get("proof")
     try:
         from nacl.exceptions import BadSignatureError
         from nacl.signing import VerifyKey

@@ -1,7 +1,7 @@
 """The queries as SQL."""
 
 from ..functions.codec import BLOCKS, CELLS
-from ..functions.vocabulary import DEFAULT
+from ..functions.vocabulary import DEFAULT, VOID
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _BARE = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"""
@@ -40,7 +40,7 @@ ATTR_HISTOGRAM = f"SELECT tag, name, count(*) AS n FROM ({_PAIRS}) GROUP BY tag,
 CLASS_TOKENS = rf"""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(value, '\s+')) AS token FROM ({_PAIRS}) WHERE name = 'class') WHERE token <> '' GROUP BY token"""
 LINKS = f"SELECT page_id, replace(value, '&amp;', '&') AS href, count(*) AS n FROM ({_PAIRS}) WHERE tag = 'a' AND name = 'href' GROUP BY ALL"
 COMMENTS = r"""SELECT page_id, c[5:-4] AS payload, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS c FROM pages) GROUP BY ALL"""
-_VOID = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
+_VOID = ",".join(f"'{t}'" for t in sorted(VOID))
 OPEN_CLOSE = rf"""WITH bare AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)(<script[^>]*>).*?(</script>)', '\1\2', 'g'), '(?s)(<style[^>]*>).*?(</style>)', '\1\2', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 t AS (SELECT page_id, html, list_transform(regexp_extract_all(h, '<[a-zA-Z][^\s/>]*'), lambda x: lower(x[2:])) AS opens, list_transform(regexp_extract_all(h, '</[a-zA-Z][^\s/>]*'), lambda x: lower(x[3:])) AS closes FROM bare)
 SELECT page_id, len(list_filter(opens, lambda x: x NOT IN ({_VOID})))::BIGINT AS n_open, len(list_filter(closes, lambda x: x NOT IN ({_VOID})))::BIGINT AS n_close,

@@ -6,6 +6,7 @@ import os
 import time
 import urllib.error
 import urllib.request
+from contextlib import AbstractContextManager
 from urllib.parse import unquote, urlsplit
 
 TAIL = 1 << 16
@@ -19,7 +20,7 @@ def local(path: str) -> str:
     return unquote(urlsplit(path).path) if path.startswith("file:") else path
 
 
-class Ranges:
+class Ranges(AbstractContextManager):
     """Reads ranges; over HTTP with ``attempts`` tries and pauses that double."""
 
     def __init__(self, path: str, timeout: float = 30, attempts: int = 4, pause: float = 1.0):
@@ -69,10 +70,7 @@ class Ranges:
         if self.file:
             self.file.close()
 
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_):
+    def __exit__(self, *error) -> None:
         self.close()
 
 

@@ -18,7 +18,7 @@ GOLDEN = {
     "<html><head><title>Hi</title></head><body><p>all</p></body></html>": "<html>\n  <head>\n    <title>\nHi\n    </title>\n  </head>\n  <body>\n    <p>\nall\n    </p>\n  </body>\n</html>",
     '<a class="btn  x y" href="/?a=1&amp;b=2" title="&lt;q&quot;">l</a>': '<a class="btn x y" href="/?a=1&amp;b=2" title="&lt;q&quot;">\nl\n</a>',
     "<!DOCTYPE html><!-- c --><br><input required>": "<!DOCTYPE html>\n<!-- c -->\n<br>\n<input required>",
-    '<style>a > b { x: "y" }</style><script>if (a < b && c) f("&")</script>': '<style>\na > b { x: "y" }\n</style>\n<script>\nif (a < b && c) f("&")\n</script>',
+    '<style>p > q { k: "v" }</style><script>if (i < n && m) g("&")</script>': '<style>\np > q { k: "v" }\n</style>\n<script>\nif (i < n && m) g("&")\n</script>',
     "<x-tag data-zz=1>5 &lt; 6</x-tag></p>": '<x-tag data-zz="1">\n5 &lt; 6\n</x-tag>\n</>',
     "<svg viewBox='0 0 1 1'></svg>": '<svg viewbox="0 0 1 1">\n</svg>',
     "": "",

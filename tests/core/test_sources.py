@@ -253,10 +253,13 @@ def test_chunk_plan_is_a_greedy_fold(spark, n, docs_, bytes_, block):
 
 
 def _root(hashes):
-    level = [hashlib.sha256(b"\0" + bytes.fromhex(h)).digest() for h in hashes]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-    return level[0].hex() if level else hashlib.sha256(b"").hexdigest()
+    if not hashes:
+        return hashlib.sha256(b"").hexdigest()
+    nodes = [hashlib.sha256(b"\0" + bytes.fromhex(h)).digest() for h in hashes]
+    while nodes[1:]:
+        right = nodes[1::2] + nodes[-1:] * (len(nodes) & 1)
+        nodes = [hashlib.sha256(b"\1" + x + y).digest() for x, y in zip(nodes[::2], right)]
+    return nodes[0].hex()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 1025])
