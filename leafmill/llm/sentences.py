@@ -32,6 +32,8 @@ from . import common as C
 from . import pieces as P
 
 CHUNK = 16_384
+#: Pairs of neighbours that a worker remembers; beyond, it starts afresh.
+PAIRS = 200_000
 
 
 class Lattice:
@@ -39,6 +41,7 @@ class Lattice:
         self.p, self.ids = pieces, pieces.pieces
         self.longest = max(map(len, self.ids))
         self.memory = P.Memory()
+        self.pairs: dict[tuple[str, str], bool] = {}
         self._undo()
         chars = sorted({c for p in self.ids for c in p})
         self.cls = np.zeros(0x110000, np.int32)
@@ -106,13 +109,19 @@ class Lattice:
 
     def path(self, text: str) -> list[str]:
         """The pieces of a text: forward over the lattice, then back along the only path."""
-        n, ids, longest, fits = len(text), self.ids, self.longest, self.fits
+        n, ids, longest, fits, pairs = len(text), self.ids, self.longest, self.fits, self.pairs
+        if len(pairs) > PAIRS:
+            pairs.clear()
         last = [""] * (n + 1)
         for i in range(1, n + 1):
-            for k in range(max(0, i - longest), i):
+            for k in range(i - longest if i > longest else 0, i):
                 piece = text[k:i]
                 if (piece in ids or k == i - 1) and (last[k] or not k):
-                    if fits(last[k], piece):
+                    key = last[k], piece
+                    ok = pairs.get(key)
+                    if ok is None:
+                        ok = pairs[key] = fits(*key)
+                    if ok:
                         last[i] = piece
                         break
         out = []
