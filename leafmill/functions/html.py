@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import codec
+from . import text as T
 from .vocabulary import DEFAULT, Vocabulary
 
 NODE_DDL = "seq int, op tinyint, tag string, attrs array<struct<name:string,value:string>>, payload string"
@@ -114,6 +115,22 @@ def html_nodes(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
     return kept.select(*keys, F.inline(nodes("_html")))
 
 
+def extract_cascade(html, *extractors) -> Column:
+    """The text that the first of the functions gives that neither fails nor gives None; at last tags are stripped."""
+    tried = [_mapped(_lenient_to_any(f), "string")(html) for f in extractors]
+    return F.coalesce(*tried, T.strip_tags(html))
+
+
+def _lenient_to_any(f):
+    def run(v):
+        try:
+            return f(v)
+        except Exception:  # whatever a foreign extractor raises, the next one is tried
+            return None
+
+    return run
+
+
 def register(spark) -> None:
     """The functions under their names for SQL, with the default vocabulary."""
     c = codec.Codec()

@@ -6,7 +6,7 @@ import gzip
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -40,6 +40,22 @@ def compression_report(pages: DataFrame, html: str = "html", vocabulary: Vocabul
     return sized.agg(F.count("*").alias("docs"), *(F.sum(a).alias(b) for a, b in (("raw", "raw_bytes"), ("gz", "gzip_bytes"), ("enc", "encoded_bytes"), ("zs", "zstd_bytes"))))
 
 
+def baseline_report(pages: DataFrame, html: str = "html", dictionary: bytes | None = None) -> DataFrame:
+    """One row: bytes of all pages by zlib, gzip and zstd, each page for itself, and with a dictionary where there is one."""
+    ways = {"zlib_bytes": H.zlib_compress(F.col("b")), "zstd_bytes": H.zstd_compress(F.col("b"))}
+    if dictionary:
+        ways["zstd_dictionary_bytes"] = H.zstd_compress(F.col("b"), 19, dictionary)
+    sized = pages.select(F.encode(html, "UTF-8").alias("b")).select(F.octet_length("b").cast("long").alias("raw_bytes"), H.gzip_size(F.col("b")).alias("gzip_bytes"), *(F.octet_length(c).cast("long").alias(n) for n, c in ways.items()))
+    return sized.agg(F.count("*").alias("docs"), *(F.sum(n).alias(n) for n in sized.columns))
+
+
+def observed_encoding(pages: DataFrame, html: str = "html", name: str = "encoding") -> tuple[DataFrame, Observation]:
+    """``pages`` with ``encoded``; the observation tells pages, encoded ones and failures once an action has run."""
+    seen, e = Observation(name), F.col("encoded")
+    out = pages.withColumn("encoded", H.encode_html(html))
+    return out.observe(seen, F.count("*").alias("pages"), F.count(e).alias("encoded"), F.count_if(e.isNull() & F.col(html).isNotNull()).alias("failed")), seen
+
+
 def gzip_member_size(data: bytes, level: int = 9) -> int:
     return len(gzip.compress(data, level, mtime=0))
 

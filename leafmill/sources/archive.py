@@ -9,7 +9,8 @@ an index row ``offset u64 | documents u16 | encoded bytes u32``, the footer
     spark.read.format("leaves").load(path)                          # doc_idx, shard, chunk_id, encoded
     spark.read.format("leaves").option("view", "chunks").load(path) # the index alone
 
-Options: ``view``, ``dictionaryPath``, ``mode`` (FAILFAST, or PERMISSIVE to leave
+Options: ``view``, ``dictionaryPath`` (without it an embedded dictionary, or one that
+``find_dictionary`` finds), ``mode`` (FAILFAST, or PERMISSIVE to leave
 corrupt chunks out), ``magic``; for writing also ``level``, ``embedDictionary``,
 ``codec`` (zstd or zlib), ``maxDocs`` and ``maxBytes``. A filter on ``doc_idx``
 that is pushed down leaves whole chunks unread.
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .files import Ranges, listed, local
+from .files import Ranges, is_url, listed, local
 
 MAGIC, VERSION, SUFFIX = b"LEAF", 2, ".leaves"
 MAX_DOCS, MAX_BYTES = 256, 2 << 20
 _HEAD, _CHUNK, _INDEX, _FOOT = struct.Struct(">4sBI"), struct.Struct(">HII"), struct.Struct(">QHI"), struct.Struct(">QQ")
 MANIFEST = "_manifest.json"
+DICTIONARY_FILE, DICTIONARY_VARIABLE = "leaves.dict", "LEAFMILL_DICTIONARY"
 _ZSTD = b"\x28\xb5\x2f\xfd"
 
 
@@ -156,6 +158,15 @@ def _dictionary(options) -> bytes | None:
         return r.read(0, r.size())
 
 
+def find_dictionary(path: str, given: str | None = None) -> str | None:
+    """The dictionary's file: the one given, that of the environment, one beside the archive, or one in this folder."""
+    beside = local(path) if os.path.isdir(local(path)) else os.path.dirname(local(path))
+    for place in (given, os.environ.get(DICTIONARY_VARIABLE), os.path.join(beside, DICTIONARY_FILE), DICTIONARY_FILE):
+        if place and (place == given or os.path.exists(local(place))):
+            return place if is_url(place) else os.path.abspath(local(place))
+    return None
+
+
 def shards_of(path: str) -> list[str]:
     """The shards of a folder in the order of its manifest, else in path order."""
     manifest = os.path.join(local(path), MANIFEST)
@@ -166,8 +177,8 @@ def shards_of(path: str) -> list[str]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+    def __init__(self, options, chosen: bool):
+        self.options, self.chosen = options, chosen
         self.low, self.high, self.wanted = 0, None, None
 
     def pushFilters(self, filters):
@@ -205,10 +216,9 @@ class _Reader(DataSourceReader):
             yield c.shard, c.chunk_id, c.file_offset, c.doc_count, c.encoded_bytes
             return
         with Ranges(c.shard) as r:
-            given = _dictionary(self.options)
-            if given is None:
-                _, _, size = _HEAD.unpack(r.read(0, _HEAD.size))
-                given = r.read(_HEAD.size, size) or None
+            _, _, size = _HEAD.unpack(r.read(0, _HEAD.size))
+            given = _dictionary(self.options) if self.chosen or not size else None
+            given = given or r.read(_HEAD.size, size) or None
             try:
                 docs = read_chunk(r, c.file_offset, c.doc_count, c.encoded_bytes, given)
             except DictionaryRequired:
@@ -291,7 +301,9 @@ class ArchiveSource(DataSource):
         return {k.lower(): v for k, v in self.options.items()}
 
     def reader(self, schema):
-        return _Reader(self._plain())
+        options = self._plain()
+        place = find_dictionary(options.get("path", ""), options.get("dictionarypath"))
+        return _Reader(options | ({"dictionarypath": place} if place else {}), "dictionarypath" in options)
 
     def writer(self, schema, overwrite):
         return _Writer(self._plain(), schema, overwrite)

@@ -124,6 +124,16 @@ def test_compression(spark):
     assert bytes(row.z) == bytes(row.d) == gzip.decompress(bytes(row.g)) == b"abc" * 100
 
 
+def test_cascade(spark):
+    def picky(v):
+        if "bad" in v:
+            raise RuntimeError
+        return None if "none" in v else "picked"
+
+    df = spark.createDataFrame([("<p>fine</p>",), ("<p>bad</p>",), ("<p>none</p>",)], "html string")
+    assert [r[0] for r in df.select(H.extract_cascade(F.col("html"), picky)).collect()] == ["picked", "bad", "none"]
+
+
 def test_learned_vocabulary(spark):
     pages = spark.createDataFrame([('<p class="often rare1">' * 5 + '<a href="/same/long/path">' * 3,)], "html string")
     v = vocabulary.learn(H.html_nodes(pages, "html").select("attrs"), 2)

@@ -108,6 +108,8 @@ def test_dictionaries(spark, docs, tmp_path, embed):
         with pytest.raises(Exception, match="dictionary"):
             archive.read_archive(spark, path).collect()
         assert archive.read_archive(spark, path, dictionaryPath=where).count() == 600
+        os.replace(where, os.path.join(path, archive.DICTIONARY_FILE))
+        assert archive.read_archive(spark, path).count() == 600
 
 
 class _Handler(http.server.BaseHTTPRequestHandler):
@@ -316,6 +318,9 @@ def test_metrics(spark):
     assert metrics.roundtrip(pages, "doc_idx").where("tags_equal and words_equal").count() == 20
     assert tuple(metrics.sample_fidelity(pages, pages).first()) == (True, True)
     assert tuple(metrics.sample_fidelity(pages, pages.where("doc_idx < 19")).first())[0] is False
+    assert metrics.baseline_report(pages, dictionary=b"<p class='a b'>text <br>more</p>" * 9).first().docs == 20
+    out, seen = metrics.observed_encoding(pages.union(spark.createDataFrame([(20, None), (21, "<p " + " ".join(f"a{i}" for i in range(300)) + ">")], "doc_idx long, html string")))
+    assert out.count() == 22 and seen.get == {"pages": 22, "encoded": 20, "failed": 1}
     whole = b"".join(f"<p class='a b'>text {i}<br>more</p>".encode() * 3 for i in range(20))
     assert abs(metrics.solid_size(pages, "html", "doc_idx").first()[0] - len(gzip.compress(whole, 9))) < 30
     s = metrics.segment_summary(spark.createDataFrame([(50, 100, True), (90, 100, True)], "archive_bytes long, baseline_bytes long, ok boolean")).first()
