@@ -13,7 +13,7 @@ from . import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Worked-out spans that a Python worker remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Pieces(NamedTuple):

@@ -33,7 +33,9 @@ from . import pieces as P
 
 CHUNK = 16_384
 #: Pairs of neighbours that a worker remembers; beyond, it starts afresh.
-PAIRS = 200_000
+PAIRS = 80_000
+#: Bytes of text that are encoded at once.
+SLICE = 900_000
 
 
 class Lattice:
@@ -304,7 +306,7 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
     def whole(batches):
         lattice = _lattice(pieces, path)
         for batch in batches:
-            for s in C.slices(batch):
+            for s in C.slices(batch, limit=SLICE):
                 flat, count = lattice.encode([marked(t) for t in s.rows.column("text").to_pylist()])
                 yield pa.record_batch([s.rows.column("doc_id"), C.list_column(flat, count, pa.int32())], ["doc_id", "ids"])
 
@@ -342,7 +344,7 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
 
     def trace(batches):
         lattice = _lattice(pieces, path)
-        for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch)):
+        for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch, limit=SLICE)):
             texts = []
             for r in batch.to_pylist():
                 t = r["text"]
