@@ -1,12 +1,19 @@
 """LM scoring: a hidden Markov language model.
 
 A text is its lines, and a line is a sequence of lower-case words, each observed
-as one of ``SYMBOLS`` hash buckets, so that the tables of the model have a fixed
-size and every word of every text counts, however large the corpus. The model has
-``STATES`` latent states. Each pass of Baum-Welch adds up, in every partition, the
-expected counts of starts, moves and emissions; the counts of the partitions are
-shuffled by symbol and summed, as fixed-point integers, so that the result doesn't
-depend on their order or on tasks that ran twice. The passes go over all texts.
+as its 64-bit hash. The model has ``STATES`` latent states and an emission count
+for every word of the corpus and state, in a table that grows with the vocabulary
+and stays distributed. Texts are written once in shares of about ``SHARE`` words
+that hold their own list of distinct words. For each pass of Baum-Welch the counts
+of its words are joined to every share; the share adds up the expected counts of
+starts, moves and emissions, which are shuffled by word and summed, as fixed-point
+integers, so that the result doesn't depend on their order or on tasks that ran
+twice. The passes go over all texts. Only starts, moves and totals by state come
+to the driver. Before the first pass a word's emissions are drawn by its hash.
+
+A word that the model hasn't met counts as ``SMOOTH`` in each state; the totals
+have room for one such word beside the known ones, which have ``SMOOTH`` added.
+With ``symbols`` given, words are folded into so many buckets first.
 
 A line's likelihood is exact, by the scaled forward recursion; a text's is the
 product over its lines. Lines run side by side, the longest first.
@@ -19,38 +26,55 @@ columns don't matter.
 
 from __future__ import annotations
 
+import gc
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-STATES, SYMBOLS, PASSES, SMOOTH, SEED = 8, 1 << 16, 4, 0.1, 20240607
-#: Words whose lines run side by side; fixed-point units of a count.
-BLOCK, UNIT = 1 << 20, 1 << 16
+STATES, PASSES, SMOOTH, SEED = 8, 4, 0.1, 20240607
+#: Words whose lines run side by side; words of a share; fixed-point units of a count.
+BLOCK, SHARE, UNIT = 1 << 20, 1 << 22, 1 << 16
 
 
 class Model(NamedTuple):
     start: np.ndarray  # (states,)
     moves: np.ndarray  # (states, states), rows sum to 1
-    emit: np.ndarray  # (symbols, states), columns sum to 1
+    emit: np.ndarray  # (symbols, states), columns sum to 1 over all symbols
 
 
-def initial(states: int = STATES, symbols: int = SYMBOLS, seed: int = SEED) -> Model:
+class Trained(NamedTuple):
+    start: np.ndarray
+    moves: np.ndarray
+    counts: DataFrame  # h, s0, s1, ...: each word's expected emissions in fixed-point units
+    total: np.ndarray  # (states,), their sums with smoothing
+
+
+def initial(states: int = STATES, symbols: int = 1, seed: int = SEED) -> Model:
     r = np.random.default_rng(seed)
     a, e = 0.5 + r.random((states, states)), 0.5 + r.random((symbols, states))
     return Model(np.full(states, 1 / states), a / a.sum(1, keepdims=True), e / e.sum(0))
 
 
-def observe(buf: np.ndarray, offs: np.ndarray, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For lower-case texts laid end to end: symbols of the words, words of each line, lines of each text."""
+def drawn(vocab: np.ndarray, states: int = STATES, seed: int = SEED) -> np.ndarray:
+    """The weights from which the emissions of words start, between 0.5 and 1.5, by their hashes."""
+    salt = C.mix(np.arange(1, states + 1, dtype=np.uint64) + np.uint64(seed))
+    return 0.5 + (C.mix(vocab[:, None] ^ salt) >> np.uint64(11)) / float(1 << 53)
+
+
+def observe(buf: np.ndarray, offs: np.ndarray, symbols: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lower-case texts laid end to end: hashes of the words, words of each line, lines of each text."""
     w = C.words(buf, offs)
     if not len(w.start):
-        return np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
-    x = (C.span_hashes(buf, w.start, w.end) % np.uint64(symbols)).astype(np.uint16)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
+    x = C.span_hashes(buf, w.start, w.end)
+    if symbols:
+        x %= np.uint64(symbols)
     feeds = np.cumsum(buf == 10)
     line = feeds[w.start]
     first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])])
@@ -144,86 +168,143 @@ def expected(m: Model, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
     return starts, moves, emits
 
 
-def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, smooth: float = SMOOTH) -> Model:
-    s, a, e = starts + smooth, moves + smooth, emits + smooth
-    return Model(s / s.sum(), a / a.sum(1, keepdims=True), e / e.sum(0))
+def _pack(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), kind)
 
 
-def _lists(col, kind) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(col.to_pylist()), kind), np.array([len(v) for v in col.to_pylist()], np.int64) // np.dtype(kind).itemsize
+def _share(at: int, parts: list) -> pa.RecordBatch:
+    ids, xs, sizes, lines = zip(*parts)
+    vocab, x, n = np.unique(np.concatenate(xs), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # frequent words first, so that the high bytes are mostly 0
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    x = rank[x]
+    planes = x.view(np.uint8).reshape(-1, 4).T  # byte by byte, which packs best
+    raw = [_pack(planes), _pack(np.concatenate(sizes).astype(np.int32)), _pack(np.concatenate(lines).astype(np.int64))]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays(ids), pa.array(vocab[order].view(np.int64)))]
+    return pa.record_batch([pa.array([at]), *lists, *(pa.array([v], pa.binary()) for v in raw)], ["share", "doc_id", "vocab", "words", "sizes", "lines"])
 
 
-def _read(docs: DataFrame, symbols: int) -> DataFrame:
-    """``doc_id, words, lines``: the symbols of each text and the words of its lines, written for the passes to come."""
+def _read(docs: DataFrame, symbols: int | None = None) -> DataFrame:
+    """A row a share: ids of its texts, its words, each word of its lines by the place in them, words of its lines, lines of its texts."""
 
     def run(batches):
+        at, parts, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for s in C.slices(batch):
                 x, size, lines = observe(s.buf, s.offs, symbols)
-                per_line = np.r_[0, np.cumsum(size, dtype=np.int64)]
-                ends = np.r_[0, np.cumsum(lines)]
-                words_at = per_line[ends]
-                cols = [pa.Array.from_buffers(pa.large_binary(), len(lines), [None, pa.py_buffer((at * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()) for at, data in ((words_at, x), (ends, size))]
-                yield pa.record_batch([s.rows.column("doc_id"), *cols], ["doc_id", "words", "lines"])
+                parts.append((s.rows.column("doc_id"), x, size, lines))
+                held += len(x)
+                if held >= SHARE:
+                    yield _share(at, parts)
+                    at, parts, held = at + 1, [], 0
+        if parts:
+            yield _share(at, parts)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    return C.materialize(plain.mapInArrow(run, "doc_id long, words binary, lines binary"))
+    return C.materialize(plain.mapInArrow(run, "share long, doc_id array<long>, vocab array<long>, words binary, sizes binary, lines binary"))
 
 
-def train(read: DataFrame, states: int = STATES, symbols: int = SYMBOLS, passes: int = PASSES) -> Model:
-    m = initial(states, symbols)
-    for _ in range(passes):
+class _Texts(NamedTuple):
+    ids: pa.Array
+    vocab: np.ndarray
+    x: np.ndarray
+    size: np.ndarray
+    lines: np.ndarray
 
-        def count(batches, m=m):
-            starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
-            for batch in batches:
-                x, _ = _lists(batch.column("words"), np.uint16)
-                size, _ = _lists(batch.column("lines"), np.int32)
-                for total, part in zip((starts, moves, emits), expected(m, x, size)):
-                    total += part
-            seen = np.flatnonzero(emits.any(1))
-            rows = np.concatenate((emits[seen], moves, starts[None]))
-            key = np.r_[seen, -1 - np.arange(states + 1)]
-            units = np.rint(rows * UNIT).astype(np.int64)
-            yield pa.record_batch([pa.array(key.astype(np.int32)), *(pa.array(units[:, s]) for s in range(states))], ["symbol", *(f"s{s}" for s in range(states))])
-
-        counts = read.mapInArrow(count, "symbol int, " + ", ".join(f"s{s} long" for s in range(states)))
-        # as many rows as the model has symbols, at any size of the corpus
-        t = counts.groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toArrow()
-        key = t["symbol"].to_numpy()
-        values = np.stack([t[f"s{s}"].to_numpy() for s in range(states)], 1) / UNIT if t.num_rows else np.zeros((0, states))
-        emits = np.zeros((symbols, states))
-        emits[key[key >= 0]] = values[key >= 0]
-        moves, starts = np.zeros((states, states)), np.zeros(states)
-        for k, v in zip(key[key < 0], values[key < 0]):
-            if k == -1 - states:
-                starts += v
-            else:
-                moves[-1 - k] = v
-        m = maximise(starts, moves, emits)
-    return m
 
+def _texts(t, row: int) -> _Texts:
+    raw = lambda name, kind: _unpack(t.column(name)[row].as_py(), kind)
+    x = np.ascontiguousarray(raw("words", np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    vocab = t.column("vocab")[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return _Texts(t.column("doc_id")[row].values, vocab, x, raw("sizes", np.int32), raw("lines", np.int64))
 
-def _score(read: DataFrame, m: Model) -> DataFrame:
-    def run(batches):
+
+def _over(read: DataFrame, m: Trained, states: int, step, schema: str) -> DataFrame:
+    """``step(model of the share's words, texts)`` for every share, to which the counts of its words are joined."""
+    start, moves, counts, total = m
+    names = [f"s{s}" for s in range(states)]
+
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        t = _texts(texts, 0)
+        emit = np.zeros((len(t.vocab), states))
+        at = rows.column("i").to_numpy()
+        for s, name in enumerate(names):
+            emit[at, s] = rows.column(name).to_numpy()
+        return pa.Table.from_batches([step(Model(start, moves, (emit / UNIT + SMOOTH) / total), t)])
+
+    words = read.select(F.col("share").alias("of"), F.posexplode("vocab").alias("i", "h")).join(counts, "h").select("of", "i", *names)
+    return read.groupBy("share").cogroup(words.groupBy("of")).applyInArrow(run, schema)
+
+
+def train(read: DataFrame, states: int = STATES, passes: int = PASSES) -> Trained:
+    if passes < 1:
+        raise ValueError("at least one pass")
+    names = [f"s{s}" for s in range(states)]
+    schema = "kind int, h long, " + ", ".join(f"{s} long" for s in names)
+
+    def count(m: Model, t: _Texts) -> pa.RecordBatch:
+        starts, moves, emits = expected(m, t.x, t.size)
+        units = np.rint(np.concatenate((emits, moves, starts[None])) * UNIT).astype(np.int64)
+        kind = np.repeat([0, 1], [len(emits), states + 1]).astype(np.int32)
+        key = np.r_[t.vocab.view(np.int64), np.arange(states + 1)]
+        return pa.record_batch([pa.array(kind), pa.array(key), *(pa.array(units[:, s]) for s in range(states))], ["kind", "h", *names])
+
+    first = initial(states)
+
+    def begin(batches):
         for batch in batches:
-            x, n = _lists(batch.column("words"), np.uint16)
-            size, lines = _lists(batch.column("lines"), np.int32)
-            if len(size):
-                ll = np.bincount(np.repeat(np.arange(len(lines)), lines), log_likelihoods(m, x, size), len(lines))
-            else:
-                ll = np.zeros(len(lines))
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                ppl = np.exp(-ll / n)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(np.round(ll, 4)), pa.array(np.round(ppl, 4), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
+            for row in range(batch.num_rows):
+                t = _texts(batch, row)
+                yield count(Model(first.start, first.moves, drawn(t.vocab, states)), t)
+
+    m = old = None
+    for _ in range(passes):
+        rows = _over(read, m, states, count, schema) if m else read.mapInArrow(begin, schema)
+        sums = C.materialize(rows.groupBy("kind", "h").agg(*(F.sum(s).alias(s) for s in names)))
+        counts = sums.where("kind = 0").drop("kind")
+        n, *total = counts.agg(F.count("*"), *(F.coalesce(F.sum(s), F.lit(0)) for s in names)).first()
+        few = np.zeros((states + 1, states))
+        for h, *units in sums.where("kind = 1").drop("kind").collect():  # one row a state, and the starts
+            few[h] = units
+        few = few / UNIT + SMOOTH
+        moves, start = few[:-1], few[-1]
+        m = Trained(start / start.sum(), moves / moves.sum(1, keepdims=True), counts, np.array(total) / UNIT + SMOOTH * (n + 1))
+        del rows
+        _let_go(read, old)
+        old = sums
+    return m
+
+
+def _let_go(read: DataFrame, old: DataFrame | None) -> None:
+    """Removes the counts of the pass before, and has Spark remove the shuffle files of plans that are garbage."""
+    jvm = read.sparkSession._jvm
+    for file in old.inputFiles() if old else ():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(read.sparkSession._jsc.hadoopConfiguration()).delete(path, False)
+    gc.collect()
+    jvm.System.gc()
+
+
+def score(read: DataFrame, m: Trained) -> DataFrame:
+    def run(m: Model, t: _Texts) -> pa.RecordBatch:
+        text = np.repeat(np.arange(len(t.lines)), t.lines)
+        n = np.bincount(text, t.size, len(t.lines)).astype(np.int64)
+        ll = np.bincount(text, log_likelihoods(m, t.x, t.size), len(t.lines)) if len(t.size) else np.zeros(len(t.lines))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            ppl = np.exp(-ll / n)
+        return pa.record_batch([t.ids, pa.array(n), pa.array(np.round(ll, 4)), pa.array(np.round(ppl, 4), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
 
-    return read.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, perplexity double")
+    return _over(read, m, len(m.start), run, "doc_id long, n_words long, log_likelihood double, perplexity double")
 
 
-def lm_scores(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, passes: int = PASSES) -> DataFrame:
+def lm_scores(docs: DataFrame, states: int = STATES, symbols: int | None = None, passes: int = PASSES) -> DataFrame:
     """``doc_id, n_words, log_likelihood, perplexity`` for every row, by a model trained on all of them."""
-    if symbols > 1 << 16:
-        raise ValueError("at most 65536 symbols")
     C.prepare(docs.sparkSession)
     read = _read(docs, symbols)
-    return _score(read, train(read, states, symbols, passes))
+    return score(read, train(read, states, passes))

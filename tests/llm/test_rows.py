@@ -170,6 +170,20 @@ def test_scores_of_odd_rows(odd, odd_rows, empty):
     assert hidden.lm_scores(empty, 2, 128, 1).count() == 0
 
 
+def test_every_word_is_a_symbol_of_its_own(spark):
+    n, size = 70_000, 50  # more words than 65,536
+    rows = [(k, " ".join(f"w{i}" for i in range(k * size, k * size + size))) for k in range(n // size)] + [(-1, "often " * 7000)]
+    read = hidden._read(frame(spark, rows))
+    m = hidden.train(read, 2, 1)
+    units = [sum(x) / hidden.UNIT for x in m.counts.drop("h").collect()]
+    assert len(units) == n + 1 and np.allclose(sorted(units), [1] * n + [7000], rtol=1e-3)
+    other = hidden._read(frame(spark, [(1, "w5"), (2, "met nowhere"), (3, "often"), (4, "neverseen")]))
+    got = {x.doc_id: x.log_likelihood for x in hidden.score(other, m).collect()}
+    assert got[4] == pytest.approx(np.log((m.start * hidden.SMOOTH / m.total).sum()), abs=1e-3) and got[4] < got[1] < got[3]
+    with_unseen = sum(np.array(x) / hidden.UNIT + hidden.SMOOTH for x in m.counts.drop("h").collect()) + hidden.SMOOTH
+    assert np.allclose(with_unseen / m.total, 1)
+
+
 # licenses
 
 
