@@ -126,8 +126,8 @@ def group_edges(g: np.ndarray, sk: np.ndarray, need: int) -> list[tuple[int, int
             comp[i] = i
             link(i, np.flatnonzero((np.count_nonzero(sk == sk[i], axis=1) >= need) & (comp != i)))
     names, sizes = np.unique(comp, return_counts=True)
-    for c in names[np.argsort(sizes)][:-1]:  # pairs across groups; within one nothing can change
-        for i in np.flatnonzero(comp == c):
+    for own in [np.flatnonzero(comp == c) for c in names[np.argsort(sizes)][:-1]]:  # pairs across groups, whose names may change on the way
+        for i in own:
             other = np.flatnonzero(comp != comp[i])
             hit = other[np.count_nonzero(sk[other] == sk[i], axis=1) >= need]
             if len(hit):

@@ -73,6 +73,27 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert kept == {1: 1, 2: 1, None: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1, 11: 1}
 
 
+def test_group_edges_connect_what_all_pairs_connect():
+    def roots(n, pairs):
+        top = list(range(n))
+        for a, b in pairs:
+            a, b = top[a], top[b]
+            top = [min(a, b) if x in (a, b) else x for x in top]
+        return top
+
+    links = [[(0, 3), (1, 4), (1, 5), (2, 6), (2, 7), (2, 8), (3, 4), (5, 6)]]
+    for seed in range(4):  # above SMALL members, sparse enough for many groups
+        r = random.Random(seed)
+        links.append([(r.randrange(300), r.randrange(300)) for _ in range(150 + 60 * seed)])
+    for pairs in links:
+        pairs = [(min(p), max(p)) for p in set(pairs) if p[0] != p[1]]
+        n = 300 if len(pairs) > 8 else 9
+        sk = np.arange(n)[:, None] * np.ones(len(pairs), int) + 1000  # members agree in a column for each pair they make
+        for k, (a, b) in enumerate(pairs):
+            sk[a, k] = sk[b, k] = 0
+        assert roots(n, near.group_edges(np.arange(n), sk, 1)) == roots(n, pairs)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 75), (200, 200)]
     got = {x.g: x.c for x in near.components(spark.createDataFrame(edges, "u long, v long")).collect()}
