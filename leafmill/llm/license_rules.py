@@ -1,7 +1,8 @@
 """The signature rules of the license scan, in order.
 
 One rule a line: license, priority, keywords, pattern. A rule is tried only where
-every one of its keywords occurs (``|`` between alternatives of one keyword). In
+every one of its keywords occurs (``|`` between alternatives of one keyword), so
+every string that the pattern accepts must contain them. In
 a pattern a space stands for any white space, with comment marks at line starts.
 Priorities: 90 identifiers and whole names with versions, 80 license sentences,
 70 titles and notices, 60 addresses, 50 short names, 40 mere hints.
@@ -15,7 +16,7 @@ Apache-2.0 | 70 | apache january | Apache License Version 2\.0, January 2004
 Apache-2.0 | 70 | apache license | Apache (?:Software )?License,? (?:Version |v\.? ?)?2(?:\.0)?\b
 Apache-2.0 | 60 | apache.org/licenses | https?://(?:www\.)?apache\.org/licenses/LICENSE-2\.0(?:\.txt|\.html)?
 Apache-2.0 | 60 | opensource.org apache | https?://(?:www\.)?opensource\.org/licenses?/apache-?2(?:\.0)?(?:\.php)?
-Apache-2.0 | 50 | apache-2|apache2|apache | \b(?:Apache-2\.0|Apache2|ALv2|ASL 2\.0)\b
+Apache-2.0 | 50 | apache-2|apache2|alv2|asl | \b(?:Apache-2\.0|Apache2|ALv2|ASL 2\.0)\b
 Apache-2.0 | 80 | compliance license | you may not use this file except in compliance with the License
 Apache-2.0 | 60 | warranties conditions | on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND
 Apache-1.1 | 90 | spdx apache-1.1 | SPDX-License-Identifier: \(?Apache-1\.1\b
@@ -33,7 +34,7 @@ MIT | 70 | copyright permission notice | The above copyright notice and this per
 MIT | 60 | noninfringement merchantability | THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT
 MIT | 60 | opensource.org mit | https?://(?:www\.)?opensource\.org/licenses?/mit(?:-license)?(?:\.php|\.html)?
 MIT | 60 | mit-license.org | https?://(?:www\.)?mit-license\.org
-MIT | 70 | mit license | \b(?:The )?MIT Licen[cs]e(?: \(MIT\))?
+MIT | 70 | mit licen | \b(?:The )?MIT Licen[cs]e(?: \(MIT\))?
 MIT | 50 | mit licen | \bMIT[- ]licen[cs]ed\b
 MIT | 50 | expat | \bExpat Licen[cs]e\b
 MIT-0 | 90 | spdx mit-0 | SPDX-License-Identifier: \(?MIT-0\b
@@ -52,7 +53,7 @@ BSD-3-Clause | 60 | opensource.org bsd-3 | https?://(?:www\.)?opensource\.org/li
 BSD-3-Clause-Clear | 90 | spdx bsd-3-clause-clear | SPDX-License-Identifier: \(?BSD-3-Clause-Clear\b
 BSD-4-Clause | 90 | spdx bsd-4-clause | SPDX-License-Identifier: \(?BSD-4-Clause\b
 BSD-4-Clause | 80 | bsd | \b(?:BSD[- ]4[- ]Clause|4-clause BSD|four-clause BSD|Original BSD|Old BSD) Licen[cs]e\b
-BSD-4-Clause | 70 | advertising materials acknowledgement | All advertising materials mentioning features or use of this software must display the following acknowledge?ment
+BSD-4-Clause | 70 | advertising materials acknowledg | All advertising materials mentioning features or use of this software must display the following acknowledge?ment
 BSD | 80 | licensed|released|distributed bsd | (?:licensed|released|distributed) under (?:the )?(?:terms of the )?BSD(?:[- ]style)? Licen[cs]e
 BSD | 70 | redistribution binary | Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
 BSD | 60 | redistributions copyright | Redistributions of source code must retain the above copyright notice
@@ -76,7 +77,7 @@ GPL-2.0 | 50 | gplv2|gpl-2|gpl | \b(?:GPL[- ]?v?2(?:\.0)?|GPLv2)(?![\w.+])
 GPL-2.0-or-later | 60 | gplv2+|gpl-2+|gpl-2.0+ | \b(?:GPLv2\+|GPL-2\+|GPL-2\.0\+)
 GPL-3.0 | 90 | spdx gpl-3.0 | SPDX-License-Identifier: \(?GPL-3\.0(?:-only)?(?![-+\w])
 GPL-3.0-or-later | 90 | spdx gpl-3.0 | SPDX-License-Identifier: \(?GPL-3\.0(?:-or-later|\+)
-GPL-3.0 | 90 | work licensed gnu general public 3 | This (?:work|program|software|project) is licensed under the GNU General Public Licen[cs]e,? version 3\b
+GPL-3.0 | 90 | licensed gnu general public 3 | This (?:work|program|software|project) is licensed under the GNU General Public Licen[cs]e,? version 3\b
 GPL-3.0 | 80 | gnu general public licen 3 | (?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?GNU General Public Licen[cs]e,? (?:version |v\.? ?)3(?:\.0)?\b
 GPL-3.0-or-later | 90 | gnu general public version 3 | GNU General Public Licen[cs]e as published by the Free Software Foundation[;,] either version 3 of the Licen[cs]e,? or \(?at your option\)? any later version
 GPL-3.0 | 80 | gnu general public version 3 | GNU General Public Licen[cs]e(?: as published by the Free Software Foundation)?[;,]? version 3(?:\.0)?\b
@@ -89,7 +90,7 @@ GPL | 70 | gnu general public licen | GNU General Public Licen[cs]e\b
 GPL | 60 | gnu.org gpl | https?://(?:www\.)?gnu\.org/(?:licenses|copyleft)/gpl(?:\.html|\.txt)?
 GPL | 50 | gpl | \b(?:under|of) the GPL\b
 GPL | 40 | gpl licen | \bGPL(?:'d)?[- ]licen[cs]ed?\b
-GPL-exception | 80 | linking exception | special exception, the copyright holders of this (?:library|program) give you permission to link
+GPL-exception | 80 | special exception permission | special exception, the copyright holders of this (?:library|program) give you permission to link
 GPL-exception | 80 | classpath exception | \bClasspath[- ]exception(?:-2\.0)?\b
 GPL-exception | 80 | gcc runtime exception | GCC Runtime Library Exception
 GPL-exception | 80 | autoconf exception | Autoconf[- ](?:configure script )?exception
@@ -105,7 +106,7 @@ LGPL-3.0 | 80 | gnu lesser general public version 3 | GNU Lesser General Public
 LGPL-3.0 | 60 | gnu.org lgpl-3 | https?://(?:www\.)?gnu\.org/licenses/lgpl-3\.0(?:\.html|\.txt|\.en\.html)?
 LGPL-3.0 | 50 | lgpl | \b(?:LGPL[- ]?v?3(?:\.0)?|LGPLv3)\b
 LGPL | 70 | lesser general public | (?:GNU )?Lesser General Public Licen[cs]e\b
-LGPL | 60 | gnu.org lgpl | https?://(?:www\.)?gnu\.org/(?:licenses|copyleft)/(?:lgpl|lesser)(?:\.html|\.txt)?
+LGPL | 60 | gnu.org lgpl|lesser | https?://(?:www\.)?gnu\.org/(?:licenses|copyleft)/(?:lgpl|lesser)(?:\.html|\.txt)?
 LGPL | 50 | lgpl | \bLGPL\b
 AGPL-3.0 | 90 | spdx agpl-3.0 | SPDX-License-Identifier: \(?AGPL-3\.0(?:-only|-or-later|\+)?
 AGPL-3.0 | 80 | affero general public 3 | GNU Affero General Public Licen[cs]e(?: as published by the Free Software Foundation)?[;,]? (?:either )?version 3(?:\.0)?\b
@@ -186,7 +187,7 @@ CC | 50 | creative commons licen | Creative Commons(?: [A-Za-z-]+){0,3} Licen[cs
 CC | 40 | creativecommons.org/licenses | https?://(?:www\.)?creativecommons\.org/licenses/[a-z-]+
 CC0-1.0 | 90 | spdx cc0-1.0 | SPDX-License-Identifier: \(?CC0-1\.0
 CC0-1.0 | 80 | cc0 | \bCC0(?:[- ]1\.0)?(?: Universal)?\b
-CC0-1.0 | 70 | creative commons zero | Creative Commons (?:CC0|Zero)(?:,? v?1\.0)?(?: Universal)?
+CC0-1.0 | 70 | creative commons zero|cc0 | Creative Commons (?:CC0|Zero)(?:,? v?1\.0)?(?: Universal)?
 CC0-1.0 | 60 | creativecommons.org/publicdomain/zero | https?://(?:www\.)?creativecommons\.org/publicdomain/zero/1\.0/?
 CC-PDM-1.0 | 60 | creativecommons.org/publicdomain/mark | https?://(?:www\.)?creativecommons\.org/publicdomain/mark/1\.0/?
 Unlicense | 90 | spdx unlicense | SPDX-License-Identifier: \(?Unlicense
@@ -216,8 +217,8 @@ SSPL-1.0 | 90 | spdx sspl-1.0 | SPDX-License-Identifier: \(?SSPL-1\.0
 SSPL-1.0 | 80 | server side public | Server Side Public Licen[cs]e(?:,? (?:Version |v)?1)?
 Elastic-2.0 | 90 | spdx elastic-2.0 | SPDX-License-Identifier: \(?Elastic-2\.0
 Elastic-2.0 | 80 | elastic licen | Elastic Licen[cs]e(?:,? (?:Version |v)?2\.0)?
-PSF-2.0 | 90 | spdx psf-2.0 | SPDX-License-Identifier: \(?(?:PSF|Python)-2\.0
-PSF-2.0 | 80 | python software foundation licen | (?:Python Software Foundation|PSF) Licen[cs]e(?: Agreement)?(?:,? version 2)?
+PSF-2.0 | 90 | spdx psf-2.0|python-2.0 | SPDX-License-Identifier: \(?(?:PSF|Python)-2\.0
+PSF-2.0 | 80 | python|psf foundation|psf licen | (?:Python Software Foundation|PSF) Licen[cs]e(?: Agreement)?(?:,? version 2)?
 Artistic-1.0 | 90 | spdx artistic-1.0 | SPDX-License-Identifier: \(?Artistic-1\.0
 Artistic-2.0 | 90 | spdx artistic-2.0 | SPDX-License-Identifier: \(?Artistic-2\.0
 Artistic-2.0 | 80 | artistic licen | Artistic Licen[cs]e,? (?:version )?2\.0\b
@@ -258,18 +259,18 @@ NPL-1.1 | 80 | netscape public licen | Netscape Public Licen[cs]e(?:,? (?:versio
 W3C | 90 | spdx w3c | SPDX-License-Identifier: \(?W3C
 W3C | 70 | w3c software notice | W3C Software (?:and Document )?Notice and Licen[cs]e
 Unicode-DFS | 90 | spdx unicode | SPDX-License-Identifier: \(?Unicode-(?:DFS-201[56]|3\.0)
-Unicode-DFS | 70 | unicode data files licen | Unicode,? Inc\.? Licen[cs]e Agreement
+Unicode-DFS | 70 | unicode inc licen agreement | Unicode,? Inc\.? Licen[cs]e Agreement
 ICU | 70 | icu licen | \bICU Licen[cs]e\b
 curl | 90 | spdx curl | SPDX-License-Identifier: \(?curl
 PostgreSQL | 90 | spdx postgresql | SPDX-License-Identifier: \(?PostgreSQL
 PostgreSQL | 70 | postgresql licen | \bPostgreSQL Licen[cs]e\b
-HPND | 80 | permission documentation purpose fee | Permission to use, copy, modify,? and distribute this software and its documentation for any purpose
+HPND | 80 | permission documentation purpose | Permission to use, copy, modify,? and distribute this software and its documentation for any purpose
 IJG | 70 | independent jpeg | This software is based in part on the work of the Independent JPEG Group
 FTL | 70 | freetype licen | (?:The )?FreeType (?:Project )?Licen[cs]e
 Vim | 70 | vim licen | \bVim Licen[cs]e\b
 TCL | 70 | tcl licen | \bTcl/Tk Licen[cs]e\b
 JSON | 80 | software good evil | The Software shall be used for Good, not Evil
-Beerware | 80 | beer retain | As long as you retain this notice you can do whatever you want with this stuff
+Beerware | 80 | retain notice stuff | As long as you retain this notice you can do whatever you want with this stuff
 Beerware | 50 | beer-ware|beerware | \bBEER-?WARE LICENSE\b
 UPL-1.0 | 90 | spdx upl-1.0 | SPDX-License-Identifier: \(?UPL-1\.0
 UPL-1.0 | 80 | universal permissive licen | Universal Permissive Licen[cs]e(?: \(UPL\))?(?:,? (?:Version |v)?1\.0)?
@@ -287,7 +288,7 @@ Proprietary | 60 | unauthorized copying prohibited | Unauthorized copying of thi
 Proprietary | 60 | end user licen agreement | End[- ]User Licen[cs]e Agreement
 Unknown | 40 | spdx licen | SPDX-License-Identifier: \(?[A-Za-z0-9.+-]+
 Unknown | 30 | licensed terms | licensed under (?:the )?terms of
-Unknown | 30 | see licen file|details | see (?:the )?(?:accompanying |file )?LICENSE(?:\.txt|\.md)? (?:file )?for (?:more )?(?:details|information|licensing)
+Unknown | 30 | see licen details|information|licensing | see (?:the )?(?:accompanying |file )?LICENSE(?:\.txt|\.md)? (?:file )?for (?:more )?(?:details|information|licensing)
 Unknown | 20 | licen | (?:licensed|released|distributed) under (?:the |an? )?(?:[A-Z][\w.+-]* ){1,4}Licen[cs]e\b
 Unknown | 20 | "license" | "license" ?: ?"[A-Za-z0-9.+ -]+"
 """

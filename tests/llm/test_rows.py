@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import sentencepiece
 
 from leafmill.llm import common as C
 from leafmill.llm import counts, hidden, licenses, pieces, secrets, sentences, winnow
+from leafmill.llm.license_rules import RULES
 
 from .conftest import frame, prose
 
@@ -223,6 +225,51 @@ def test_license_scan_is_that_without_prefilter(spark, odd, odd_rows, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def _variants(tree, most=400):
+    """Strings of a parsed pattern: every branch, with and without each optional part."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name in ("LITERAL", "NOT_LITERAL"):
+            more = [chr(arg) if name == "LITERAL" else "x"]
+        elif name == "ANY":
+            more = ["x"]
+        elif name == "IN":
+            first = {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "1"}
+            more = [first[str(k)](v) for k, v in arg]
+        elif name == "BRANCH":
+            more = [x for b in arg[1] for x in _variants(b)]
+        elif name == "SUBPATTERN":
+            more = _variants(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            once = _variants(arg[2])
+            more = [x * k for k in {arg[0], min(arg[1], arg[0] + 1)} for x in (once if k else [""])]
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT")
+            more = [""]
+        more = list(dict.fromkeys(more))
+        # all pairs while they are few, else each value of either side at least once
+        out = [a + b for a in out for b in more] if len(out) * len(more) <= most else [out[i % len(out)] + more[i % len(more)] for i in range(max(len(out), len(more)))]
+    return list(dict.fromkeys(out))
+
+
+def test_every_branch_of_every_rule_passes_its_gate():
+    lost = set()
+    for line, rule in zip(RULES.strip().splitlines(), licenses._machine()[0]):
+        for x in _variants(re._parser.parse(line.split(" | ", 3)[3])):
+            for text in (x, f"({x.upper()})", f"({x})"):
+                if rule.pattern.search(text) and not all(any(k in text.lower() for k in g) for g in rule.keywords):
+                    lost.add((rule.number, text))
+                elif text == x:
+                    assert licenses.scan(text) == _plain_scan(text)
+    assert not lost
+
+
+@pytest.mark.parametrize("text,name", [("Released under ALv2.", "Apache-2.0"), ("ASL 2.0", "Apache-2.0"), ("Distributed under the PSF License.", "PSF-2.0"), ("See LICENSE for more information.", "Unknown"), ("UNICODE, INC. LICENSE AGREEMENT", "Unicode-DFS")])
+def test_matches_without_the_usual_keywords(text, name):
+    assert name in [r.license for _, _, r in licenses.scan(text)]
+
+
 def test_there_are_hundreds_of_rules():
     assert len(licenses._machine()[0]) > 200
 
