@@ -57,11 +57,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, parts: int, *cols: str) -> DataFrame:
+    """As ``materialize``, a row for each value of ``cols``, in ``parts`` buckets, so that a join on them doesn't shuffle the rows again."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(parts, *cols).dropDuplicates([*cols]).write.option("path", scratch(spark)).bucketBy(parts, *cols).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved here; the name isn't needed from now on, and the files of an outside table stay
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``_k, doc_id, text``: the key stands for (doc_id, text); equal rows share it."""
+    """``_k, doc_id, text``: the key stands for (doc_id, text); equal rows share it.
+
+    Where rows would be lost if two keys met, ``second`` gives the other half of a key of 128 bits.
+    """
     return docs.select(F.xxhash64("doc_id", "text").alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def second(doc_id, text):
+    return F.xxhash64(F.lit(1), text, doc_id)
+
+
 def numbered(docs: DataFrame):
     """``docs`` with its columns renamed c0, c1, ..., so that no name clashes with ours; and the way back."""
     names = docs.columns

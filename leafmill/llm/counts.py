@@ -4,7 +4,8 @@ The vocabulary is a trie with two roots, one for pieces at the start of a word
 and one for the rest. Each node has a failure link, the node that stands for what
 remains once the longest pieces before it are popped, and the precomputed number
 of pieces popped on that link. So a word is read once, from left to right, and
-only counts are added up: no piece is ever built.
+only counts are added up: no piece is ever built. The distinct words of a slice
+(told apart by their characters) are read side by side, a character of each a step.
 
 A *word* is a run of characters other than white space and ASCII punctuation, or
 a single ASCII punctuation mark. A word that greedy longest match can't cover
@@ -18,6 +19,7 @@ give equal rows; an empty table gives none; extra columns don't matter.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 
 import numpy as np
@@ -42,6 +44,10 @@ def vocabulary(path: str = P.MODEL) -> tuple[list[str], list[str]]:
     return sorted({p[1:] for p in names if p[0] == P.SPACE and len(p) > 1 and P.SPACE not in p[1:]} | {p for p in rest if len(p) == 1}), rest
 
 
+#: Words of up to so many characters are read side by side, longer ones each for itself.
+SIDE_BY_SIDE = 64
+
+
 class Automaton:
     """``go[(node, character)]``; ``link[node]`` (-1: none) and ``popped[node]``; nodes 0 and 1 are the roots."""
 
@@ -81,6 +87,11 @@ class Automaton:
             if z >= 0:
                 link[u], popped[u] = go[z, c], count
         self.go, self.link, self.popped = go, link, popped
+        # the same as arrays: edges sorted by node and character
+        edges = np.array([(u << 21 | ord(c), v) for (u, c), v in go.items()], np.int64).reshape(-1, 2)
+        edges = edges[np.argsort(edges[:, 0])]
+        self.edge, self.to = np.r_[edges[:, 0], 1 << 62], np.r_[edges[:, 1], 0]
+        self.links, self.pops = np.array(link), np.array(popped)
 
     def count(self, word: str) -> int:
         """Pieces of greedy longest match; 1 where it can't cover the word."""
@@ -99,6 +110,37 @@ class Automaton:
             u = link[u]
         return total if u == 1 else 1
 
+    def count_all(self, cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """``count`` of each word of words laid end to end: a step reads one character of every word."""
+        size = np.diff(offs)
+        out = np.ones(len(size), np.int64)
+        for i in np.flatnonzero(size > SIDE_BY_SIDE):
+            out[i] = self.count(cps[offs[i] : offs[i + 1]].tobytes().decode("utf-32-le", "surrogatepass"))
+        short = np.flatnonzero((size <= SIDE_BY_SIDE) & (size > 0))
+        if not len(short):
+            return out
+        who = short[np.argsort(-size[short], kind="stable")]
+        first, live = offs[who], np.searchsorted(-size[who], -np.arange(1, size[who[0]] + 1), "right")
+        node, total = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
+        for i, n in enumerate(live):
+            at = np.flatnonzero(node[:n] >= 0)
+            c = cps[first[at] + i].astype(np.int64)
+            while len(at):
+                key = node[at] << 21 | c
+                e = np.searchsorted(self.edge, key)
+                hit = self.edge[e] == key
+                node[at[hit]] = self.to[e[hit]]
+                at, c = at[~hit], c[~hit]
+                total[at] += self.pops[node[at]]
+                node[at] = self.links[node[at]]
+                on = node[at] >= 0
+                at, c = at[on], c[on]
+        while len(at := np.flatnonzero(node > 1)):
+            total[at] += self.pops[node[at]]
+            node[at] = self.links[node[at]]
+        out[who] = np.where(node == 1, total, 1)
+        return out
+
 
 def word_spans(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of texts laid end to end."""
@@ -112,25 +154,24 @@ def word_spans(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end
 
 
-_state: dict = {}
+_machines: dict = {}
 
 
 def counter(initial: list[str], rest: list[str]):
-    """A function from texts to their numbers of tokens; what it learns stays with the process."""
+    """A function from texts to their numbers of tokens; a process keeps the automaton for the next batch."""
+    name = hashlib.sha256("\n".join([*initial, "", *rest]).encode()).digest()
 
     def run(texts: list[str]) -> np.ndarray:
-        key = (len(initial), len(rest), hash(tuple(initial[:50])), hash(tuple(rest[-50:])))
-        if _state.get("key") != key:
-            _state.update(key=key, machine=Automaton(initial, rest), memory=P.Memory())
-        machine, memory = _state["machine"], _state["memory"]
-        text = "".join(texts)
-        cps = P.code_points(text)
+        if name not in _machines:
+            _machines.clear()
+            _machines[name] = Automaton(initial, rest)
+        cps = P.code_points("".join(texts))
         offs = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
         start, end = word_spans(cps, offs)
         if not len(start):
             return np.zeros(len(texts), np.int64)
-        entry = memory.look_up(text, cps, start, end, lambda w: (machine.count(w),))
-        total = np.r_[0, np.cumsum(memory.flat[memory.start[entry]], dtype=np.int64)]
+        words = P.distinct(cps, np.stack((start, end), 1).ravel(), 2)
+        total = np.r_[0, np.cumsum(_machines[name].count_all(words.cps, words.offs)[words.which])]
         first = np.searchsorted(start, offs)
         return total[first[1:]] - total[first[:-1]]
 

@@ -69,6 +69,8 @@ class Store:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
+#: The largest cap of common prefixes; symbols that a pass handles at once.
+MOST, BLOCK = 250, 1 << 18
 _TUPLE = np.dtype([("sym", np.int32), ("pos", np.int32), ("lcp", np.uint8)])
 
 
@@ -81,11 +83,10 @@ class Queue:
     """
 
     def __init__(self, counts: np.ndarray, store: Store, ascending: bool, ranges: int = 64, least: int = 1 << 17):
-        self.total = np.r_[0, np.cumsum(counts)]
+        self.total = _sums(counts, store)
         self.sign, self.store, n = (1 if ascending else -1), store, int(self.total[-1])
         grain = max(1, -(-n // ranges), min(least, store.in_memory // 8))
-        self.range_of_mass = np.unique(np.searchsorted(self.total, np.arange(0, n + grain, grain)).clip(0, len(counts)))
-        self.bounds = np.unique(np.r_[0, self.range_of_mass, len(counts)])  # range r: symbols bounds[r] to bounds[r + 1] - 1
+        self.bounds = np.unique(np.r_[0, np.searchsorted(self.total, np.arange(0, n + grain, grain)).clip(0, len(counts)), len(counts)])  # range r: symbols bounds[r] to bounds[r + 1] - 1
         self.runs: list[list] = [[] for _ in self.bounds]
         self.kept = [0] * len(self.runs)
         self.current, self.pos, self.lcp, self.fill, self.base = -1, None, None, None, 0
@@ -154,6 +155,17 @@ class Queue:
     low = 1 << 60
 
 
+def _sums(counts: np.ndarray, store: Store) -> np.ndarray:
+    """0 and the running sums of ``counts``."""
+    out, base = store.empty(len(counts) + 1, np.int64), 0
+    out[0] = 0
+    for lo in range(0, len(counts), BLOCK):
+        part = np.cumsum(counts[lo : lo + BLOCK]) + base
+        out[lo + 1 : lo + 1 + len(part)] = part
+        base = int(part[-1])
+    return out
+
+
 class Sorted(NamedTuple):
     order: np.ndarray  # positions of the suffixes, ascending
     lcp: np.ndarray  # of each with the one before, capped
@@ -195,8 +207,10 @@ def _scan(t, is_s, run, back, counts, static, ascending: bool, cap: int, store:
     sta = counts[1] if ascending else counts[1][::-1]
     q = Queue(dyn, store, ascending)
     s_pos, s_lcp = static
-    s_start = np.r_[0, np.cumsum(sta)]
-    mass = q.total + s_start
+    s_start = _sums(sta, store)
+    mass = store.empty(nsym + 1, np.int64)
+    for lo in range(0, nsym + 1, BLOCK):
+        mass[lo : lo + BLOCK] = q.total[lo : lo + BLOCK] + s_start[lo : lo + BLOCK]
     n = int(mass[-1])
     goal, c = max(1024, int(n**0.5)), 0
 
@@ -310,7 +324,7 @@ def _types(t: np.ndarray, store: Store):
     """S-type flags; the length of the run of its symbol from each position, capped at 255; and how much of it lies before."""
     n = len(t)
     is_s, run, back = store.empty(n, bool), store.empty(n, np.uint8), store.empty(n, np.int32)
-    start, step = 0, 1 << 22
+    start, step = 0, BLOCK
     for lo in range(0, n, step):
         x = np.asarray(t[max(lo - 1, 0) : min(n, lo + step)])
         new = np.flatnonzero(x[1:] != x[:-1]) + max(lo, 1)
@@ -341,8 +355,35 @@ def _types(t: np.ndarray, store: Store):
     return is_s, run, back
 
 
-def _name(t, is_s, lms, ends):
-    """Dense names of the LMS substrings t[lms..ends], in their order; equal ones share a name."""
+def _counts(t, nsym: int, store: Store, keep) -> np.ndarray:
+    """How often each symbol stands at positions that ``keep(lo, hi)`` flags."""
+    out = store.empty(nsym, np.int64)
+    for lo in range(0, nsym, BLOCK):
+        out[lo : lo + BLOCK] = 0
+    for lo in range(0, len(t), BLOCK):
+        hi = min(len(t), lo + BLOCK)
+        sym, n = np.unique(t[lo:hi][keep(lo, hi)], return_counts=True)
+        out[sym] += n
+    return out
+
+
+def _leftmost(is_s, store: Store) -> np.ndarray:
+    """Positions of the LMS suffixes."""
+    n, parts, total = len(is_s), [], 0
+    for lo in range(1, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        total += np.count_nonzero(is_s[lo:hi] & ~is_s[lo - 1 : hi - 1])
+    out, at = store.empty(total, np.int32) if total else np.zeros(0, np.int32), 0
+    for lo in range(1, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        parts = np.flatnonzero(is_s[lo:hi] & ~is_s[lo - 1 : hi - 1]) + lo
+        out[at : at + len(parts)] = parts
+        at += len(parts)
+    return out
+
+
+def _name_some(t, is_s, lms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense names of the LMS substrings t[lms..ends], in their order, and their number; equal ones share a name."""
     m = len(lms)
     rank, active, off = np.zeros(m, np.int64), np.arange(m), 0
     while len(active):
@@ -365,37 +406,61 @@ def _name(t, is_s, lms, ends):
         size = np.diff(np.r_[start, len(who)])[group]
         going = (size > 1) & (lms[who] + off + 1 < ends[who])
         active, off = who[going], off + 2
-    names = np.unique(rank, return_inverse=True)[1]
-    return names.astype(np.int32)
+    names, which = np.unique(rank, return_inverse=True)
+    return which.astype(np.int32), len(names)
 
 
-def _sort(t: np.ndarray, nsym: int, cap: int, store: Store) -> Sorted:
-    n = len(t)
-    if n == 1:
-        return Sorted(np.zeros(1, np.int32), np.zeros(1, np.uint8))
-    is_s, run, back = _types(t, store)
-    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
-    counts_all = np.bincount(t, minlength=nsym)
-    counts_s = np.bincount(t[is_s], minlength=nsym)
-    counts_lms = np.bincount(t[lms], minlength=nsym)
-    if len(lms) > 1:
-        ends = np.r_[lms[1:], lms[-1]]
-        names = _name(t, is_s, lms, ends)
-        total = int(names.max()) + 1
-        if total == len(names):
-            order = np.empty(len(lms), np.int32)
-            order[names] = np.arange(len(lms), dtype=np.int32)
-            values = np.zeros(len(lms), np.uint8)
-        else:
-            reduced = store.empty(len(names), np.int32)
-            reduced[:] = names
-            sub = _sort(reduced, total, cap, store)
-            order, values = np.asarray(sub.order), np.asarray(sub.lcp)
-        a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-        k = values[1:].astype(np.int64)
-        edge = np.r_[lms.astype(np.int64), n - 1]
-        have = np.minimum(edge[np.minimum(a + k, len(lms))] - edge[a], cap)
-        x, y = edge[a] + have, edge[b] + have
+def _name(t, is_s, lms: np.ndarray, counts: np.ndarray, store: Store) -> tuple[np.ndarray, int]:
+    """Names of all LMS substrings, a range of first symbols after the other, and their number."""
+    m = len(lms)
+    out, total = store.empty(m, np.int32), 0
+    if store.external(len(t)):
+        before = _sums(counts, store)
+        grain = max(1, min(1 << 17, store.in_memory // 8))
+        bounds = np.unique(np.r_[0, np.searchsorted(before, np.arange(0, m + grain, grain)).clip(0, len(counts)), len(counts)])
+    else:
+        bounds = np.array([0, len(counts)])
+    if len(bounds) > 2:  # the substrings of each range, in the order of the text
+        r_of = lambda a, b: np.searchsorted(bounds, t[lms[a:b]], "right") - 1
+        size = np.zeros(len(bounds), np.int64)
+        for a in range(0, m, BLOCK):
+            size += np.bincount(r_of(a, min(m, a + BLOCK)), minlength=len(bounds))
+        at, members = np.cumsum(size) - size, store.empty(m, np.int32)
+        for a in range(0, m, BLOCK):
+            r = r_of(a, min(m, a + BLOCK))
+            o = np.argsort(r, kind="stable")
+            new = _starts(r[o])
+            n = _sizes(new, len(o))
+            own = r[o][new]
+            members[np.repeat(at[own] - new, n) + np.arange(len(o))] = a + o
+            at[own] += n
+        edges = np.r_[0, np.cumsum(size)]
+    else:
+        members, edges = None, np.array([0, m])
+    for a, b in zip(edges, edges[1:]):
+        if a == b:
+            continue
+        who = np.arange(a, b) if members is None else np.asarray(members[a:b]).astype(np.int64)
+        names, n = _name_some(t, is_s, np.asarray(lms[who]), np.asarray(lms[np.minimum(who + 1, m - 1)]).astype(np.int64))
+        out[who] = names + np.int32(total)
+        total += n
+    return out, total
+
+
+def _prefixes(t, lms: np.ndarray, order: np.ndarray, values: np.ndarray, cap: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted LMS suffixes and the common prefix of each with the one before, from those of their names."""
+    m, n = len(lms), len(t)
+    pos, out = store.empty(m, np.int32), store.empty(m, np.uint8)
+    edge = lambda i: np.where(i < m, lms[np.minimum(i, m - 1)], n - 1).astype(np.int64)
+    for lo in range(0, m, BLOCK):
+        hi = min(m, lo + BLOCK)
+        b = np.asarray(order[lo:hi]).astype(np.int64)
+        a = np.asarray(order[np.arange(lo - 1, hi - 1).clip(0)]).astype(np.int64)
+        k = np.asarray(values[lo:hi]).astype(np.int64)
+        x, y = edge(a), edge(b)
+        pos[lo:hi] = y
+        have = np.minimum(edge(np.minimum(a + k, m)) - x, cap)
+        x, y = x + have, y + have
         live = np.flatnonzero(have < cap)
         while len(live):
             live = live[(x[live] < n) & (y[live] < n)]
@@ -404,17 +469,42 @@ def _sort(t: np.ndarray, nsym: int, cap: int, store: Store) -> Sorted:
             y[live] += 1
             have[live] += 1
             live = live[have[live] < cap]
-        static = (lms[order], np.r_[0, have].astype(np.uint8))
+        if lo == 0:
+            have[0] = 0
+        out[lo:hi] = have
+    return pos, out
+
+
+def _sort(t: np.ndarray, nsym: int, cap: int, store: Store) -> Sorted:
+    n = len(t)
+    if n == 1:
+        return Sorted(np.zeros(1, np.int32), np.zeros(1, np.uint8))
+    is_s, run, back = _types(t, store)
+    lms = _leftmost(is_s, store)
+    m = len(lms)
+    counts_s = _counts(t, nsym, store, lambda lo, hi: np.asarray(is_s[lo:hi]))
+    counts_l = _counts(t, nsym, store, lambda lo, hi: ~np.asarray(is_s[lo:hi]))
+    counts_lms = _counts(t, nsym, store, lambda lo, hi: np.asarray(is_s[lo:hi]) & ~np.r_[True, is_s[lo : hi - 1]] if lo == 0 else is_s[lo:hi] & ~is_s[lo - 1 : hi - 1])
+    if m > 1:
+        names, total = _name(t, is_s, lms, counts_lms, store)
+        if total == m:
+            order, values = store.empty(m, np.int32), store.empty(m, np.uint8)
+            for lo in range(0, m, BLOCK):
+                hi = min(m, lo + BLOCK)
+                order[names[lo:hi]] = np.arange(lo, hi, dtype=np.int32)
+                values[lo:hi] = 0
+        else:
+            order, values = _sort(names, total, cap, store)
+        static = _prefixes(t, lms, order, values, cap, store)
+        del names, order, values
     else:
-        static = (lms, np.zeros(len(lms), np.uint8))
-    counts_l = counts_all - counts_s
+        static = (lms, np.zeros(m, np.uint8))
     # the ends of runs come from the queue, what is before them from the bucket itself
-    final = np.ones(n, bool)
-    np.not_equal(t[1:], t[:-1], out=final[:-1])
-    led_s = np.bincount(t[final & is_s], minlength=nsym)
-    led_l = np.bincount(t[final], minlength=nsym) - led_s
-    del final
-    l_pos, l_lcp = store.empty(max(1, n - int(counts_s.sum())), np.int32), store.empty(max(1, n - int(counts_s.sum())), np.uint8)
+    final = lambda lo, hi: np.r_[t[lo + 1 : hi + 1] != t[lo : min(hi, n - 1)], [True] * (hi == n)].astype(bool)
+    led_s = _counts(t, nsym, store, lambda lo, hi: final(lo, hi) & is_s[lo:hi])
+    led_l = _counts(t, nsym, store, lambda lo, hi: final(lo, hi) & ~is_s[lo:hi])
+    of_l = sum(int(counts_l[lo : lo + BLOCK].sum()) for lo in range(0, nsym, BLOCK))
+    l_pos, l_lcp = store.empty(max(1, of_l), np.int32), store.empty(max(1, of_l), np.uint8)
     at = 0
 
     def keep_l(pos, lcp, sym):
@@ -425,10 +515,13 @@ def _sort(t: np.ndarray, nsym: int, cap: int, store: Store) -> Sorted:
         at += len(mine)
 
     _scan(t, is_s, run, back, (led_l, counts_lms), static, True, cap, store, keep_l)
-    assert at == n - int(counts_s.sum()), (at, n)
+    assert at == of_l, (at, of_l)
     # the descending scan: a value belongs to a suffix and the next larger one
     down_pos = l_pos[:at][::-1]
-    down_lcp = np.r_[np.uint8(0), l_lcp[:at][::-1][:-1]] if at else np.zeros(0, np.uint8)
+    down_lcp = store.empty(at, np.uint8) if at else np.zeros(0, np.uint8)
+    for lo in range(0, at, BLOCK):
+        hi = min(at, lo + BLOCK)
+        down_lcp[lo:hi] = l_lcp[at - hi + 1 : at - lo + 1][::-1] if lo else np.r_[np.uint8(0), l_lcp[at - hi + 1 : at][::-1]]
     out, lcp_out = store.empty(n, np.int32), store.empty(n + 1, np.uint8)
     to = n
 
@@ -447,15 +540,17 @@ def _sort(t: np.ndarray, nsym: int, cap: int, store: Store) -> Sorted:
     return Sorted(out, lcp_out[:n])
 
 
-def suffix_array(text, cap: int = 250, spill: str | None = None, in_memory: int = 1 << 22) -> tuple[Sorted, Store]:
-    """Sorts the suffixes of non-negative integers. The caller closes the store.
+def suffix_array(text, cap: int, spill: str | None = None, in_memory: int = 1 << 22, store: Store | None = None) -> Sorted:
+    """Sorts the suffixes of non-negative integers. ``store``, which the caller closes, may hold the text already.
 
-    The last symbol must be 0 and the only 0. Prefix values are capped at ``cap`` (250 at most).
+    The last symbol must be 0 and the only 0. Prefix values are capped at ``cap`` (``MOST`` at most).
     """
-    store = Store(spill, in_memory)
-    t = np.asarray(text, np.int32)
-    if store.external(len(t)):
+    if cap > MOST:
+        raise ValueError(f"cap may be {MOST} at most")
+    store = store or Store(spill, in_memory)
+    t = text if isinstance(text, np.memmap) else np.asarray(text, np.int32)
+    if store.external(len(t)) and not isinstance(t, np.memmap):
         kept = store.empty(len(t), np.int32)
         kept[:] = t
         t = kept
-    return _sort(t, int(t.max()) + 1, min(cap, 250), store), store
+    return _sort(t, max(int(t[lo : lo + BLOCK].max()) for lo in range(0, len(t), BLOCK)) + 1, cap, store)

@@ -8,8 +8,8 @@ matches that merely overlap all stay.
 
 Offsets are in characters, the end exclusive. Letters match without regard to
 case, in ASCII only. Defined results: null and empty texts, and those without a
-match, give no rows; texts are matched whole, whatever their length; equal rows
-give equal rows; an empty table gives none; extra columns don't matter.
+match, give no rows; texts are matched whole, whatever their length, in linear
+time however long the blanks in them; equal rows give equal rows; an empty table gives none; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ class Rule(NamedTuple):
 
 
 #: What a space in a pattern stands for: white space, across line ends also comment marks.
-_GAP = r"(?:[ \t]+|[ \t]*\r?\n[ \t]*(?:(?://+|#+|\*+|--|;+|%+|>)[ \t]*)?)+?"
+#: A gap is taken whole and never given back, so it is read in linear time also where gaps meet.
+_GAP = r"(?>(?:[ \t]++|\r?\n(?:[ \t]*+(?://+|#+|\*+|--|;+|%+|>))?)+)"
 
 
 def parse(lines: str) -> list[Rule]:

@@ -1,21 +1,27 @@
 """MinHash near-dedup: the chosen-path set similarity join.
 
 A document is the set of its word 3-grams (lower case; fewer than three words:
-one gram of all). 128 minwise tokens stand for the set; the similarity of two
-documents is the share of tokens in which they agree. In each of ``TREES``
-independent trees a node picks ``BRANCH`` token positions by a hash of its own
-path and passes each document to the children named by its tokens there. A node
-of at most ``SMALL`` members is compared exhaustively; a larger one branches
-again, and one that is still large at ``LEVELS`` is compared exhaustively too,
-leaving out only pairs that are already known to be in one group, so that no
-partner is ever dropped. Documents with the same tokens are one member.
-
-Pairs at ``SIMILAR`` or above make groups (connected components); the least
-(doc_id, key) of a group stays, null ids last.
-
-Defined results: text that is null or has no word belongs to no group; rows
-equal in doc_id and text count as one document; equal texts with different ids
-are a group; an empty table gives no rows; extra columns don't matter.
+one gram of all). 128 minwise tokens stand for the set. In each of several
+independent trees, as many as the target ``RECALL`` needs, a node picks ``BRANCH``
+token positions by a hash of its own path and passes each document to the children
+named by its tokens there. A node of at most ``SMALL`` members is compared
+exhaustively; a larger one branches again, and one that is still large at ``LEVELS``
+is compared exhaustively too, leaving out only pairs that are already known to be in
+one group, so that no partner is ever dropped. Documents with the same tokens are
+one member.
+
+A comparison counts the tokens (their low bytes) in which two members agree. Counts
+``SURE`` standard deviations above what ``SIMILAR`` gives are links; those down to
+``DOUBT`` standard deviations below are only proposed, and the exact Jaccard similarity
+of the two sets of grams decides, unless links already join the two in that node.
+
+Groups are the connected components of the links; the least (doc_id, key) of a group
+stays, null ids last.
+
+Defined results: text that is null or has no word belongs to no group; texts of any
+length are read whole; rows equal in doc_id and text count as one document; equal
+texts with different ids are a group; an empty table gives no rows; extra columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -27,38 +33,56 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOKENS, GRAM, SIMILAR, TREES, BRANCH, SMALL, LEVELS = 128, 3, 0.55, 6, 2, 256, 5
+TOKENS, GRAM, SIMILAR, RECALL, BRANCH, SMALL, LEVELS = 128, 3, 0.55, 0.98, 2, 256, 5
+SURE, DOUBT = 4.0, 3.0
+#: Documents in doubt whose keys are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _MUL = (_rng.integers(0, 1 << 32, TOKENS, dtype=np.uint64) | 1).astype(np.uint32)
 
 
-def signatures(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a slice of lower-case text that have words, and their minwise tokens."""
+def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a slice of lower-case text that have words, their grams end to end, and where each row's begin."""
     w = C.words(buf, offs)
     count = np.diff(w.first)
     rows = np.flatnonzero(count)
     if not len(rows):
-        return rows, np.zeros((0, TOKENS), np.uint32)
+        return rows, np.zeros(0, np.uint64), rows
     h = C.span_hashes(buf, w.start, w.end)
     g = C.gram_hashes(h, GRAM)
     whole = g[w.doc[: len(g)] == w.doc[GRAM - 1 :]] if len(g) else g
-    grams = np.maximum(count[rows] - GRAM + 1, 1)
-    first = np.r_[0, np.cumsum(grams)[:-1]]
+    size = np.maximum(count[rows] - GRAM + 1, 1)
+    first = np.r_[0, np.cumsum(size)[:-1]]
     short = count[rows] < GRAM
-    x = np.empty(grams.sum(), np.uint64)
+    x = np.empty(size.sum(), np.uint64)
     is_short = np.zeros(len(x), bool)
     is_short[first[short]] = True
     x[~is_short] = whole
     for at, r in zip(first[short], rows[short]):
         x[at] = C.mix(h[w.first[r] : w.first[r + 1]] * np.arange(3, 3 + 2 * count[r], 2, dtype=np.uint64)).sum()
-    x32 = (C.mix(x) >> np.uint64(32)).astype(np.uint32)
+    return rows, x, first
+
+
+def signatures(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a slice of lower-case text that have words, and their minwise tokens."""
+    rows, x, first = grams(buf, offs)
     sig = np.empty((len(rows), TOKENS), np.uint32)
-    for j in range(TOKENS):
-        sig[:, j] = np.minimum.reduceat((x32 ^ _XOR[j]) * _MUL[j], first)
+    if len(rows):
+        x32 = (C.mix(x) >> np.uint64(32)).astype(np.uint32)
+        for j in range(TOKENS):
+            sig[:, j] = np.minimum.reduceat((x32 ^ _XOR[j]) * _MUL[j], first)
     return rows, sig
 
 
+def trees_for(similar: float, recall: float = RECALL) -> int:
+    """Trees after which a pair of that similarity has met in a node with probability ``recall``, whatever the nodes' sizes."""
+    meet = 1.0
+    for _ in range(LEVELS):
+        meet = 1 - (1 - similar * meet) ** BRANCH
+    return 1 if meet >= 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - meet))))
+
+
 def _sign(batches):
     for batch in batches:
         for s in C.slices(batch):
@@ -66,7 +90,18 @@ def _sign(batches):
             if len(rows):
                 take = s.rows.take(pa.array(rows))
                 raw = pa.Array.from_buffers(pa.binary(TOKENS * 4), len(rows), [None, pa.py_buffer(np.ascontiguousarray(sig))])
-                yield pa.record_batch([take.column("_k"), take.column("doc_id"), raw.cast(pa.binary())], ["_k", "doc_id", "sig"])
+                yield pa.record_batch([take.column("_k"), take.column("_j"), take.column("doc_id"), raw.cast(pa.binary())], ["_k", "_j", "doc_id", "sig"])
+
+
+def _sets(batches):
+    """``g, grams``: the distinct grams of each row."""
+    for batch in batches:
+        for s in C.slices(batch):
+            rows, x, first = grams(s.buf, s.offs)
+            ends = np.r_[first, len(x)].astype(np.int64)
+            parts = [np.unique(x[a:b]).view(np.int64) for a, b in zip(ends, ends[1:])]
+            if parts:
+                yield pa.record_batch([s.rows.column("g").take(pa.array(rows)), C.list_column(np.concatenate(parts), np.array([len(p) for p in parts]), pa.int64())], ["g", "grams"])
 
 
 def _matrix(col: pa.Array, kind) -> np.ndarray:
@@ -104,12 +139,18 @@ def _branch(batches):
         yield pa.record_batch([pa.array(kids.ravel().view(np.int64)), pa.array(np.repeat(batch.column("g").to_numpy(), BRANCH))], ["node", "g"])
 
 
-def _need(similar: float) -> int:
-    return int(np.ceil(similar * TOKENS - 1e-9))
+def _bounds(similar: float) -> tuple[int, int]:
+    """Agreements from which a pair is proposed, and from which it is a link."""
+    mean, deviation = similar * TOKENS, (TOKENS * similar * (1 - similar)) ** 0.5
+    return max(1, int(np.ceil(mean - DOUBT * deviation))), min(TOKENS, int(np.ceil(mean + SURE * deviation)))
 
 
 def group_edges(g: np.ndarray, sk: np.ndarray, need: int) -> list[tuple[int, int]]:
     """Edges that connect whatever an exhaustive comparison of these members connects."""
+    return _grouped(g, sk, need)[0]
+
+
+def _grouped(g: np.ndarray, sk: np.ndarray, need: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     comp, out = np.full(len(g), -1), []
 
     def link(i: int, js: np.ndarray) -> None:
@@ -125,26 +166,59 @@ def group_edges(g: np.ndarray, sk: np.ndarray, need: int) -> list[tuple[int, int
         if comp[i] < 0:
             comp[i] = i
             link(i, np.flatnonzero((np.count_nonzero(sk == sk[i], axis=1) >= need) & (comp != i)))
-    names, sizes = np.unique(comp, return_counts=True)
-    for own in [np.flatnonzero(comp == c) for c in names[np.argsort(sizes)][:-1]]:  # pairs across groups, whose names may change on the way
+    for own in _others(comp):  # pairs across groups, whose names may change on the way
         for i in own:
             other = np.flatnonzero(comp != comp[i])
             hit = other[np.count_nonzero(sk[other] == sk[i], axis=1) >= need]
             if len(hit):
                 link(i, hit)
+    return out, comp
+
+
+def _others(comp: np.ndarray) -> list[np.ndarray]:
+    """The members of each group but the largest."""
+    names, sizes = np.unique(comp, return_counts=True)
+    return [np.flatnonzero(comp == c) for c in names[np.argsort(sizes)][:-1]]
+
+
+def _doubtful(g: np.ndarray, sk: np.ndarray, comp: np.ndarray, low: int) -> list[tuple[int, int]]:
+    """Pairs across groups that are proposed only."""
+    out = []
+    for own in _others(comp):
+        for i in own:
+            other = np.flatnonzero(comp != comp[i])
+            out.extend((int(g[i]), int(g[j])) for j in other[np.count_nonzero(sk[other] == sk[i], axis=1) >= low])
     return out
 
 
-def _compare(need: int):
+def _roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges, and the least of the component of each, all in this task."""
+    names, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b, top = at[: len(u)], at[len(u) :], np.arange(len(names))
+    while True:
+        low = np.minimum(top[a], top[b])
+        new = top.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, top[a], low)
+        np.minimum.at(new, top[b], low)
+        new = new[new]
+        if (new == top).all():
+            return names, names[top]
+        top = new
+
+
+def _compare(low: int, high: int):
     def whole(node, g, sk):
         if not len(node):
             return
         new = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         size = np.diff(np.r_[new, len(node)])
-        us, vs = [], []
+        links, doubts = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for a, n in zip(new[size > SMALL], size[size > SMALL]):
-            pairs = np.array(group_edges(g[a : a + n], sk[a : a + n], need), np.int64).reshape(-1, 2)
-            us.append(pairs[:, 0]), vs.append(pairs[:, 1])
+            edges, comp = _grouped(g[a : a + n], sk[a : a + n], high)
+            links.append(np.array(edges, np.int64).reshape(-1, 2))
+            doubts.append(np.array(_doubtful(g[a : a + n], sk[a : a + n], comp, low), np.int64).reshape(-1, 2))
         rows = np.flatnonzero(np.repeat(size <= SMALL, size))
         last = np.repeat(new + size, size)
         for d in range(1, SMALL):
@@ -152,14 +226,19 @@ def _compare(need: int):
             if not len(rows):
                 break
             for part in np.array_split(rows, max(1, len(rows) // 20_000)):
-                hit = part[np.count_nonzero(sk[part] == sk[part + d], axis=1) >= need]
-                us.append(g[hit]), vs.append(g[hit + d])
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            if len(pairs):
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+                agree = np.count_nonzero(sk[part] == sk[part + d], axis=1)
+                for of, hit in ((links, part[agree >= high]), (doubts, part[(agree >= low) & (agree < high)])):
+                    of.append(np.stack((g[hit], g[hit + d]), 1))
+        links, doubts = np.concatenate(links), np.concatenate(doubts)
+        names, top = _roots_of(links[:, 0], links[:, 1])
+        if len(doubts):  # those that links join already need no decision
+            ends = [np.searchsorted(names, doubts[:, c]).clip(0, max(len(names) - 1, 0)) for c in (0, 1)]
+            root = [np.where(names[e] == doubts[:, c], top[e], doubts[:, c]) if len(names) else doubts[:, c] for c, e in enumerate(ends)]
+            doubts = np.unique(np.sort(doubts[root[0] != root[1]], axis=1), axis=0)
+        apart = names != top  # a star joins what the links join
+        u, v = np.r_[top[apart], doubts[:, 0]], np.r_[names[apart], doubts[:, 1]]
+        if len(u):
+            yield pa.record_batch([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) < apart.sum())], ["u", "v", "sure"])
 
     def run(batches):  # sorted by node; a node may go on in the next batch
         node, g, sk = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS), np.uint8)
@@ -205,18 +284,30 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.union(edges.select(F.col("u").alias("g"), F.col("u").alias("c")).distinct())
 
 
-def _groups(docs: DataFrame, similar: float, trees: int) -> DataFrame:
-    """``_k, doc_id, keep`` (the struct of the one that stays) for members of groups of two or more documents."""
+def _decided(doubts: DataFrame, signed: DataFrame, lower: DataFrame, similar: float) -> DataFrame:
+    """Of the proposed pairs ``u, v`` those whose sets of grams have the similarity."""
+    ends = doubts.select("u").union(doubts.select("v")).distinct().toDF("g")
+    wanted = C.materialize(signed.select("_k", "g").join(ends, "g").groupBy("g").agg(F.min("_k").alias("_k")))
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = lower.select("_k", "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), "_k")
+    sets = texts.mapInArrow(_sets, "g long, grams array<long>").groupBy("g").agg(F.first("grams").alias("grams"))  # equal rows share a key
+    one, two = sets.toDF("u", "a"), sets.toDF("v", "b")
+    both = F.size(F.array_intersect("a", "b"))
+    return doubts.join(one, "u").join(two, "v").where(both >= F.lit(similar) * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def _groups(docs: DataFrame, similar: float, trees: int | None) -> DataFrame:
+    """``_k, _j, doc_id, keep`` (the struct of the one that stays) for members of groups of two or more documents."""
     spark = C.prepare(docs.sparkSession)
-    lower = C.keyed(docs).withColumn("text", F.lower("text"))
-    signed = C.materialize(lower.mapInArrow(_sign, "_k long, doc_id long, sig binary").withColumn("g", F.xxhash64("sig")))
+    lower = C.keyed(docs).withColumns({"_j": C.second("doc_id", "text"), "text": F.lower("text")})
+    signed = C.materialize(lower.mapInArrow(_sign, "_k long, _j long, doc_id long, sig binary").withColumn("g", F.xxhash64("sig")))
     reps = C.materialize(signed.groupBy("g").agg(F.first("sig").alias("sig")))
 
     def sized(rows):
         n = F.count("*").over(Window.partitionBy("node"))
         return C.materialize(rows.select("node", "g", n.alias("n")).where("n > 1"))
 
-    at = sized(reps.mapInArrow(_roots(trees), "node long, g long"))
+    at = sized(reps.mapInArrow(_roots(trees or trees_for(similar)), "node long, g long"))
     leaves = at.where(F.col("n") <= SMALL)
     for level in range(LEVELS):
         big = at.where(F.col("n") > SMALL)
@@ -229,12 +320,14 @@ def _groups(docs: DataFrame, similar: float, trees: int) -> DataFrame:
         leaves = leaves.union(at.where(F.col("n") <= SMALL))
     sketch = reps.mapInArrow(_sketch, "g long, sketch binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = leaves.select("node", "g").join(sketch, "g").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_compare(_need(similar)), "u long, v long")
-    comp = components(edges)
-    owned = signed.select("_k", "doc_id", "g").distinct().join(comp, "g", "left").select("_k", "doc_id", F.coalesce("c", "g").alias("c"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")
+    met = leaves.select("node", "g").join(sketch, "g").repartition(parts, "node").sortWithinPartitions("node")
+    edges = C.materialize(met.mapInArrow(_compare(*_bounds(similar)), "u long, v long, sure boolean"))
+    doubts = edges.where("not sure").select("u", "v").distinct()
+    comp = components(edges.where("sure").select("u", "v").union(_decided(doubts, signed, lower, similar)))
+    owned = signed.select("_k", "_j", "doc_id", "g").distinct().join(comp, "g", "left").select("_k", "_j", "doc_id", F.coalesce("c", "g").alias("c"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_j")
     keep = owned.groupBy("c").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    return owned.join(keep, "c").select("_k", "doc_id", "keep")
+    return owned.join(keep, "c").select("_k", "_j", "doc_id", "keep")
 
 
 def _sketch(batches):
@@ -244,13 +337,18 @@ def _sketch(batches):
         yield pa.record_batch([batch.column("g"), raw.cast(pa.binary())], ["g", "sketch"])
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int = TREES) -> DataFrame:
+def _gone(docs: DataFrame, similar: float, trees: int | None) -> DataFrame:
+    return _groups(docs, similar, trees).where("_k <> keep._k or _j <> keep._j")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, trees: int | None = None) -> DataFrame:
     """``doc_id, keep_id``: each document that goes, and the one of its group that stays."""
-    return _groups(docs, similar, trees).where("_k <> keep._k").select("doc_id", F.col("keep.doc_id").alias("keep_id"))
+    return _gone(docs, similar, trees).select("doc_id", F.col("keep.doc_id").alias("keep_id"))
 
 
-def keep_one(docs: DataFrame, similar: float = SIMILAR, trees: int = TREES) -> DataFrame:
+def keep_one(docs: DataFrame, similar: float = SIMILAR, trees: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates; of equal rows one stays."""
-    gone = C.materialize(_groups(docs, similar, trees).where("_k <> keep._k").select("_k"))
+    gone = C.materialize(_gone(docs, similar, trees).select("_k", "_j"))
     plain, restore = C.numbered_keyed(docs)
-    return restore(plain.join(gone, "_k", "left_anti").dropDuplicates(["_k"]))
+    plain = plain.withColumn("_j", C.second("_id", "_text"))
+    return restore(plain.join(gone, ["_k", "_j"], "left_anti").dropDuplicates(["_k", "_j"]))

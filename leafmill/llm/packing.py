@@ -1,8 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities.
 
-Documents fall at random (a seeded hash) into groups of about ``GROUP``; the
-groups are independent, so they are packed in parallel and a group's size doesn't
-grow with the corpus. In a group, documents go from the longest to the shortest
+Documents fall at random (a seeded hash of the row and its place) into groups of
+about ``GROUP``, equal rows like any others; the groups are independent, so they are
+packed in parallel and a group's size doesn't grow with the corpus. In a group, documents go from the longest to the shortest
 into the first bin with room. The tree holds the largest room below each node,
 so a bin is found in as many steps as the tree has levels.
 
@@ -10,14 +10,15 @@ A document longer than a bin is cut into pieces of a whole bin each, in bins of
 their own, and a rest that is packed like the others.
 
 Defined results: null and empty texts have 0 tokens and go into the first bin;
-ties go by (doc_id, hash of the text), null ids last; equal rows are packed each
-for itself; an empty table gives no rows; extra columns don't matter.
+texts of any length are counted whole; ties go by (doc_id, hash of the text), null
+ids last; equal rows are packed each for itself, in groups of their own luck; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,14 +102,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, path: st
     count = T.counter(*T.vocabulary(path))
 
     def sizes(batches):
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
             for s in C.slices(batch):
-                yield pa.record_batch([s.rows.column("_k"), s.rows.column("doc_id"), pa.array(count(T.slice_texts(s)))], ["_k", "doc_id", "size"])
+                no = pa.array(np.arange(at, at + s.rows.num_rows))
+                at += s.rows.num_rows
+                yield pa.record_batch([s.rows.column("_k"), s.rows.column("doc_id"), no, pa.array(count(T.slice_texts(s)))], ["_k", "doc_id", "no", "size"])
 
-    groups = max(1, -(-docs.count() // group))
+    # written before it is shuffled, so that a row keeps its place, and with it its group, when tasks run again
+    measured = C.materialize(C.keyed(docs).mapInArrow(sizes, "_k long, doc_id long, no long, size long"))
+    groups = max(1, -(-measured.count() // group))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    measured = C.keyed(docs).mapInArrow(sizes, "_k long, doc_id long, size long")
-    of_group = measured.withColumn("group_id", F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(groups)))
+    of_group = measured.withColumn("group_id", F.pmod(F.xxhash64("_k", "no", F.lit(seed)), F.lit(groups))).drop("no")
     order = (F.col("group_id"), F.col("doc_id").asc_nulls_last(), F.col("_k"))
     return (
         of_group.repartition(min(parts, groups), "group_id").sortWithinPartitions(*order)

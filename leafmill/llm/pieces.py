@@ -1,19 +1,15 @@
-"""Piece vocabularies and tables of spans that were worked out before."""
+"""Piece vocabularies, and the distinct ones among spans of text."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-
-from . import common as C
+import pyarrow as pa
 
 #: A public piece model; every operator that uses it takes another path as a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Worked-out spans that a Python worker remembers; beyond, it starts afresh.
-REMEMBERED = 150_000
 
 
 class Pieces(NamedTuple):
@@ -47,48 +43,16 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Memory:
-    """Integer sequences by the 64-bit hash of the span of code points they belong to."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _add(self, key: int, values) -> int:
-        k, n = len(self.index), len(values)
-        if k == len(self.start):
-            self.start, self.size = np.r_[self.start, np.zeros(k, np.int64)], np.r_[self.size, np.zeros(k, np.int32)]
-        while self.used + n > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.int32)]
-        self.flat[self.used : self.used + n] = values
-        self.start[k], self.size[k] = self.used, n
-        self.used += n
-        self.index[key] = k
-        return k
-
-    def look_up(self, text: str, cps: np.ndarray, start: np.ndarray, end: np.ndarray, solve) -> np.ndarray:
-        """The entry of each span; ``solve(str)`` works out spans not met before."""
-        if len(self.index) > REMEMBERED:
-            self.clear()
-        h = C.span_hashes(cps, start, end)
-        codes, keys = pd.factorize(h)
-        where = np.zeros(len(keys), np.int64)
-        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        get, entry = self.index.get, np.empty(len(keys), np.int64)
-        known = [get(k) for k in keys.tolist()]
-        for i, e in enumerate(known):
-            if e is None:
-                a, b = start[where[i]], end[where[i]]
-                e = self._add(int(keys[i]), solve(text[a:b]))
-            entry[i] = e
-        return entry[codes]
-
-    def values(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All sequences one after the other, and their sizes."""
-        size = self.size[entry].astype(np.int64)
-        at = np.arange(size.sum()) + np.repeat(self.start[entry] - (np.cumsum(size) - size), size)
-        return self.flat[at], size
+class Spans(NamedTuple):
+    which: np.ndarray  # for each span its text, as a number
+    cps: np.ndarray  # the code points of the distinct texts, end to end
+    offs: np.ndarray  # where each distinct text begins, and the end of the last
+
+
+def distinct(cps: np.ndarray, bounds: np.ndarray, step: int = 1) -> Spans:
+    """Texts of the spans between neighbours of ``bounds``, every ``step``-th of them; told apart by their code points."""
+    raw = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64) * 4), pa.py_buffer(cps)])
+    coded = raw.dictionary_encode()
+    _, offs, data = coded.dictionary.buffers()
+    offs = np.frombuffer(offs, np.int64)[: len(coded.dictionary) + 1] // 4
+    return Spans(coded.indices.to_numpy()[::step], np.frombuffer(data, np.uint32)[: offs[-1]], offs)

@@ -5,14 +5,18 @@ between letters or digits. The field tags each as outside (O), beginning (B) or
 inside (I) of a secret, from its shape, its surroundings, the words around it and
 features of the whole file, and is decoded by Viterbi.
 
-It is trained here, on windows of a bounded sample of documents (``TRAIN_ROWS``):
-made-up credentials are written into half of the windows, harmless look-alikes
-into others, and what a few patterns find in them already is labelled too. The
+It is trained here, on a bounded sample of whole documents (``TRAIN_ROWS``): at two
+random places of each a made-up credential, a harmless look-alike or nothing is
+written in, and what a few patterns find already is labelled too. Features are those
+of the whole document with what was written into it; of its tokens, the ones around
+the two places (``WINDOW``) are learnt from; fewer documents are each used more than
+once. Windows are made on the executors, so the driver holds windows, never texts. The
 likelihood is maximised with its exact gradient, by forward and backward sums.
 
 Decoding is exact. A token whose O outweighs B and I by more than any change of
 transitions could make good is O on the best path, so only the stretches between
-such tokens are decoded, all of a batch side by side.
+such tokens are decoded, all of a batch side by side. Of equally good paths the one
+whose last states come first in the order O, B, I is taken.
 
 Defined results: null and empty texts have no secrets; texts are read whole,
 whatever their length; equal rows give equal rows; an empty table gives none and
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: The bound on documents that training gathers; tokens in a window; passes of the optimiser.
+#: The bound on documents that training reads; tokens on both sides of a place together; passes of the optimiser.
 TRAIN_ROWS, WINDOW, STEPS = 800, 40, 90
 REDACTED = b"<SECRET>"
 
@@ -210,29 +214,33 @@ _TEACHERS = [re.compile(p, re.I) for p in (
     r"(?P<s>-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----)", r"\b(?P<s>(?:AKIA|ASIA)[0-9A-Z]{16})\b", r"\b(?P<s>gh[pousr]_[A-Za-z0-9]{30,})\b",
 )]
 _HEX, _B62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-_NAMES = ("token", "secret", "api_key", "apikey", "password", "passwd", "access_key", "auth_token", "client_secret", "aws_secret_access_key", "private_key", "TOKEN", "API_KEY", "SECRET_KEY")
+_NAMES = ("token", "secret", "key", "password", "passwd", "pwd", "credential", "api_key", "apikey", "access_key", "auth_token", "client_secret", "aws_secret_access_key", "private_key", "TOKEN", "API_KEY", "SECRET_KEY")
+_OWNERS = ("", "", "", "", "my_", "app_", "user_", "admin_", "prod_", "test_", "service_", "cloud_", "mail_", "APP_", "SERVICE_")
 
 
 def _credential(r: np.random.Generator) -> tuple[str, str, str]:
     """What stands before a made-up credential, the credential, what stands after it."""
     pick = lambda chars, n: "".join(r.choice(list(chars), n))
-    name, q = r.choice(_NAMES), r.choice(['"', "'", ""])
-    lead = f"{name}{r.choice([' = ', '=', ': ', ' : '])}{q}"
-    k = r.integers(0, 9)
+    name, q = r.choice(_OWNERS) + r.choice(_NAMES), r.choice(['"', "'", ""])
+    lead = f"{name}{r.choice(['', q])}{r.choice([' = ', '=', ': ', ' : '])}{q}"
+    alone = lambda other: lead if r.random() < 0.6 else other
+    k = r.integers(0, 10)
     if k < 3:
-        s = pick(_HEX, int(r.choice([32, 40, 40, 64])))
+        s = pick(_HEX, int(r.choice([16, 18, 20, 24, 32, 40, 40, 56, 64, 96])))
         s = s.upper() if r.random() < 0.25 else s
     elif k == 3:
-        s = "AKIA" + pick(_B62[:26] + "0123456789", 16)
-        lead = lead if r.random() < 0.7 else " "
+        s = r.choice(["AKIA", "AKIA", "AROA", "AIDA"]) + pick(_B62[:26] + "0123456789", 16)
+        lead = lead if r.random() < 0.4 else " "
     elif k == 4:
-        s, lead = r.choice(["ghp_", "gho_"]) + pick(_B62, 36), lead if r.random() < 0.7 else " "
+        s, lead = r.choice(["ghp_", "gho_", "xoxb-", "glpat-", "npm_", "pypi-"]) + pick(_B62, int(r.integers(20, 44))), alone(" ")
     elif k == 5:
-        s, lead = "sk-" + pick(_B62, 48), lead if r.random() < 0.7 else " "
+        s, lead = r.choice(["sk-", "pk_live_", "rk_", "key-"]) + pick(_B62, int(r.integers(24, 52))), alone(" ")
     elif k == 6:
-        s = pick(_B62 + "+/", 40)
+        s = pick(_B62 + "+/", int(r.integers(20, 64)))
     elif k == 7:
-        s, lead = f"eyJ{pick(_B62, 33)}.eyJ{pick(_B62, 60)}.{pick(_B62 + '_-', 43)}", lead if r.random() < 0.7 else "Bearer "
+        s, lead = f"eyJ{pick(_B62, 33)}.eyJ{pick(_B62, 60)}.{pick(_B62 + '_-', 43)}", alone(r.choice(["Bearer ", "Bearer: ", "Basic "]))
+    elif k == 8:
+        s, lead = pick(_B62, int(r.integers(14, 60))), lead if r.random() < 0.7 else r.choice(["Bearer ", "Authorization: ", "Basic "])
     else:
         kind = r.choice(["RSA ", "EC ", ""])
         body = "\n".join(pick(_B62 + "+/", 64) for _ in range(int(r.integers(2, 6))))
@@ -250,57 +258,59 @@ def _harmless(r: np.random.Generator) -> str:
     ]))
 
 
-def examples(texts: list[str], seed: int = 7) -> tuple[list[str], list[list[tuple[int, int]]]]:
-    """Windows of texts, and the character spans of the secrets in them."""
-    r, out, marks = np.random.default_rng(seed), [], []
-    for text in texts:
-        pieces = text.split(" ")
-        for k in range(2):
-            at = int(r.integers(0, max(1, len(pieces) - WINDOW // 2)))
-            head, tail = " ".join(pieces[at : at + WINDOW // 4]), " ".join(pieces[at + WINDOW // 4 : at + WINDOW // 2])
-            spans_: list[tuple[int, int]] = []
-            if (at + k) % 2:
-                lead, s, end = _credential(r)
-                sep = r.choice([" ", "\n", ""]) if lead[:1] not in " \n" else ""
-                new = head + sep + lead + s + end + " " + tail
-                a = len(head + sep + lead)
-                spans_.append((a, a + len(s)))
-            elif r.random() < 0.7:
-                new = f"{head} {_harmless(r)} {tail}"
-            else:
-                new = f"{head} {tail}"
-            for p in _TEACHERS:
-                for m in p.finditer(new):
-                    a, b = m.span("s")
-                    if not any(x < b and a < y for x, y in spans_) and re.search(r"\d", new[a:b]):
-                        spans_.append((a, b))
-            out.append(new)
-            marks.append(spans_)
-    return out, marks
-
-
-def labelled(texts: list[str], marks: list[list[tuple[int, int]]]):
-    """Features, states and texts of the tokens of all windows."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    offs = np.r_[0, np.cumsum([len(x) for x in raw])]
-    t = tokens(buf, offs)
-    y = np.zeros(len(t.start), np.int64)
-    for i, spans_ in enumerate(marks):
-        for a, b in spans_:
-            a, b = (offs[i] + len(texts[i][:c].encode("utf-8", "replace")) for c in (a, b))
-            inside = np.flatnonzero((t.start < b) & (t.end > a) & (t.doc == i))
-            if len(inside):
-                y[inside], y[inside[0]] = I, B
-    return buf, offs, t, y
-
-
-def fit_windows(texts: list[str], marks: list[list[tuple[int, int]]], steps: int = STEPS, l2: float = 0.02) -> Field:
-    buf, offs, t, y = labelled(texts, marks)
-    x = features(buf, offs, t)
+def plant(text: str, r: np.random.Generator) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """The text with something written in at two places; the spans of its secrets, and of the two places, in characters."""
+    places = sorted((text.find(" ", int(r.random() * len(text))) for _ in range(2)), key=lambda p: len(text) if p < 0 else p)
+    out, done, size, secrets_, around = [], 0, 0, [], []
+    for at in places:
+        at = len(text) if at < 0 else at
+        out.append(text[done:at])
+        size, done = size + at - done, at
+        if r.random() < 0.5:
+            lead, s, end = _credential(r)
+            before = r.choice([" ", "\n", ""]) + lead if lead[:1] not in " \n" else lead
+            secrets_.append((size + len(before), size + len(before) + len(s)))
+            new = before + s + end
+        else:
+            new = f" {_harmless(r)}" if r.random() < 0.7 else ""
+        around.append((size, size + len(new)))
+        out.append(new)
+        size += len(new)
+    new = "".join([*out, text[done:]])
+    for p in _TEACHERS:
+        for m in p.finditer(new):
+            a, b = m.span("s")
+            if not any(x < b and a < y for x, y in secrets_) and re.search(r"\d", new[a:b]):
+                secrets_.append((a, b))
+    return new, secrets_, around
+
+
+def windows(texts: list[str], seeds: list[int], rounds: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and states of the tokens around the places of each text, ``rounds`` times anew; the features know the whole text."""
+    out = []
+    for text, seed in ((t, [n % (1 << 63), k]) for t, n in zip(texts, seeds) for k in range(rounds)):
+        new, marks, around = plant(text, np.random.default_rng(seed))
+        raw = np.frombuffer(new.encode("utf-8", "replace"), np.uint8)
+        offs = np.array([0, len(raw)])
+        t = tokens(raw, offs)
+        x, y = features(raw, offs, t), np.zeros(len(t.start), np.int64)
+        byte = lambda c: len(new[:c].encode("utf-8", "replace"))
+        for a, b in marks:
+            inside = slice(np.searchsorted(t.end, byte(a), "right"), np.searchsorted(t.start, byte(b)))
+            y[inside] = I
+            y[inside.start : inside.stop][:1] = B
+        for a, b in around:
+            lo, hi = np.searchsorted(t.end, byte(a), "right"), np.searchsorted(t.start, byte(b))
+            part = slice(max(0, lo - WINDOW // 2), hi + WINDOW // 2)
+            if len(y[part]):
+                out.append((x[part], y[part]))
+    return out
+
+
+def fit_windows(parts: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, l2: float = 0.02) -> Field:
+    x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     total, k = int(sum(SIZES)), x.shape[1]
-    counts = np.bincount(t.doc, minlength=len(texts))
-    counts = counts[counts > 0]
+    counts = np.array([len(p[1]) for p in parts])
     first = np.r_[0, np.cumsum(counts)[:-1]]
     o = np.argsort(-counts, kind="stable")
     first, counts = first[o], counts[o]
@@ -355,15 +365,26 @@ def fit_windows(texts: list[str], marks: list[list[tuple[int, int]]], steps: int
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = STEPS) -> Field | None:
-    """Trains on windows of at most ``rows`` documents, those with the least hash of (doc_id, text)."""
+    """Trains on at most ``rows`` documents, those with the least hash of (doc_id, text)."""
     C.prepare(docs.sparkSession)
-    # at most ``rows`` hashes come to the driver, then at most as many texts
+    # at most ``rows`` hashes come to the driver, then the windows of as many texts
     hashed = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text")
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not least:
+        return None
     wanted = docs.sparkSession.createDataFrame([(h,) for h in least], "h long")
-    found = hashed.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text")).collect() if least else []
-    texts = [r.text for r in sorted(found, key=lambda r: r.h)]
-    return fit_windows(*examples(texts), steps) if texts else None
+    rounds = -(-rows // len(least))  # a small corpus is written into again and again
+
+    def run(batches):
+        for batch in batches:
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text")):
+                for no, (x, y) in enumerate(windows([text.as_py()], [h], rounds)):
+                    yield pa.record_batch([pa.array([h]), pa.array([no]), pa.array([x.ravel()], pa.list_(pa.int32())), pa.array([y], pa.list_(pa.int8()))], ["h", "no", "x", "y"])
+
+    found = hashed.join(F.broadcast(wanted), "h").dropDuplicates(["h"]).mapInArrow(run, "h long, no long, x array<int>, y array<byte>").toArrow()
+    found = found.sort_by([("h", "ascending"), ("no", "ascending")])
+    parts = [(np.array(x.values).reshape(-1, len(SIZES)), np.array(y.values).astype(np.int64)) for x, y in zip(found["x"], found["y"])]
+    return fit_windows(parts, steps) if parts else None
 
 
 def tag(field: Field, buf: np.ndarray, offs: np.ndarray):

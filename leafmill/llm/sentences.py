@@ -13,12 +13,14 @@ anywhere on the cluster: (1) a chunk yields a transfer matrix between the states
 of its two boundaries, a state being a piece that reaches the boundary or across
 it; (2) the matrices of a text are combined associatively, which leaves one state
 at each boundary; (3) each chunk is backtraced for itself between its two states.
-Spans between hard boundaries are worked out once and remembered.
+Of the spans between hard boundaries, each distinct one of a slice (told apart by its
+characters) is worked out once; short ones side by side, a merge of each a step.
 
 Defined results, one row for each input row: null and empty texts have no ids;
 characters outside the vocabulary become byte pieces; texts that hold the model's
-space mark itself don't come back intact; equal rows give equal rows; an empty
-table gives none; extra columns don't matter.
+space mark itself don't come back intact; texts of any length are read whole; equal
+rows give equal rows; an empty table gives none; extra columns don't matter. Two
+paths of weight 0, which merges rule out, would end the job with an error.
 """
 
 from __future__ import annotations
@@ -32,18 +34,37 @@ from . import common as C
 from . import pieces as P
 
 CHUNK = 16_384
-#: Pairs of neighbours that a worker remembers; beyond, it starts afresh.
-PAIRS = 80_000
-#: Bytes of text that are encoded at once.
-SLICE = 900_000
+#: Pairs of neighbours in a generation of those that a worker remembers.
+PAIRS = 40_000
+#: Spans of up to so many characters are worked out side by side, longer ones each for itself.
+SIDE_BY_SIDE = 32
+_NONE = np.iinfo(np.int32).max
+
+
+class Pairs:
+    """What is known about pairs of neighbours, in two generations: when the young one is full, the old one goes."""
+
+    def __init__(self, fits):
+        self.fits, self.young, self.old = fits, {}, {}
+
+    def __call__(self, left: str, right: str) -> bool:
+        key = left, right
+        ok = self.young.get(key)
+        if ok is None:
+            ok = self.old.get(key)
+            if ok is None:
+                ok = self.fits(left, right)
+            if len(self.young) >= PAIRS:
+                self.old, self.young = self.young, {}
+            self.young[key] = ok
+        return ok
 
 
 class Lattice:
     def __init__(self, pieces: P.Pieces):
         self.p, self.ids = pieces, pieces.pieces
         self.longest = max(map(len, self.ids))
-        self.memory = P.Memory()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Pairs(self.fits)
         self._undo()
         chars = sorted({c for p in self.ids for c in p})
         self.cls = np.zeros(0x110000, np.int32)
@@ -53,6 +74,73 @@ class Lattice:
         for p in self.ids:
             for a, b in zip(p, p[1:]):
                 self.soft[self.cls[ord(a)] * self.width + self.cls[ord(b)]] = True
+        self._tables(chars)
+
+    def _tables(self, chars: list[str]) -> None:
+        """Merges as arrays. Symbols are piece ids, then characters that aren't pieces, by their code points."""
+        self.first = max(self.ids.values()) + 1
+        symbol = {c: self.ids.get(c, self.first + ord(c)) for c in chars} | self.ids
+        self.base = self.first + 0x110000
+        self.of_char = np.arange(self.first, self.base)
+        self.of_char[[ord(c) for c in chars]] = [symbol[c] for c in chars]
+        order = {score: i for i, score in enumerate(sorted({*self.p.scores.values()}, reverse=True))}
+        rows = sorted(
+            (symbol[p[:i]] * self.base + symbol[p[i:]], order[self.p.scores[k]], k)
+            for p, k in self.ids.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol
+        )
+        table = np.array([*rows, (1 << 62, _NONE, 0)], np.int64)
+        self.pair, self.order, self.joined = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+
+    def _merge_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the order of merges, and result, of each pair of symbols; -1 is no symbol."""
+        key = left.astype(np.int64) * self.base + right
+        e = np.searchsorted(self.pair, key)
+        hit = (self.pair[e] == key) & (right >= 0) & (left >= 0)
+        return np.where(hit, self.order[e], _NONE), self.joined[e]
+
+    def side_by_side(self, cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of short spans, end to end, and how many each has: a step makes the next merge of every span.
+
+        The path of weight 0 of a span is what the merges leave of it.
+        """
+        size = np.diff(offs)
+        count = np.zeros(len(size), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = [0, 4, 8, 12, 20, SIDE_BY_SIDE]
+        for low, width in zip(edges, edges[1:]):  # spans of similar lengths are the rows of a matrix
+            rows = np.flatnonzero((size > low) & (size <= width))
+            if not len(rows):
+                continue
+            col = np.arange(width)
+            at = offs[rows][:, None] + col
+            inside = col < size[rows][:, None]
+            s = np.where(inside, self.of_char[cps[np.minimum(at, len(cps) - 1)]], -1).astype(np.int32)
+            rank, to = np.full(s.shape, _NONE, np.int32), np.zeros(s.shape, np.int32)
+            rank[:, :-1], to[:, :-1] = self._merge_of(s[:, :-1], s[:, 1:])
+            while True:
+                best = rank.argmin(1)  # the leftmost of equals
+                on = rank[np.arange(len(rows)), best] < _NONE
+                if not on.all():
+                    done.append((rows[~on], s[~on]))
+                    rows, best, s, rank, to = rows[on], best[on], s[on], rank[on], to[on]
+                if not len(rows):
+                    break
+                line = np.arange(len(rows))
+                s[line, best] = to[line, best]
+                take = np.minimum(col + (col > best[:, None]), width - 1) + line[:, None] * width
+                s, rank, to = s.ravel()[take], rank.ravel()[take], to.ravel()[take]
+                s[:, -1], rank[:, -1] = -1, _NONE  # a span is one symbol shorter now
+                for j in (best - 1, best):  # the pairs that the new symbol is in
+                    ok = (j >= 0) & (j < width - 1)
+                    i, j = line[ok], j[ok]
+                    rank[i, j], to[i, j] = self._merge_of(s[i, j], s[i, j + 1])
+        for rows, s in done:
+            count[rows] = np.count_nonzero(s >= 0, axis=1)
+        out, first = np.empty(count.sum(), np.int32), np.cumsum(count) - count
+        for rows, s in done:
+            held = s >= 0
+            out[np.repeat(first[rows], count[rows]) + (np.cumsum(held, axis=1) - 1)[held]] = s[held]
+        return out, count
 
     def hard(self, cps: np.ndarray) -> np.ndarray:
         """For each character but the first: whether the boundary before it is hard."""
@@ -111,51 +199,70 @@ class Lattice:
 
     def path(self, text: str) -> list[str]:
         """The pieces of a text: forward over the lattice, then back along the only path."""
-        n, ids, longest, fits, pairs = len(text), self.ids, self.longest, self.fits, self.pairs
-        if len(pairs) > PAIRS:
-            pairs.clear()
+        n, ids, longest, fits = len(text), self.ids, self.longest, self.pairs
         last = [""] * (n + 1)
         for i in range(1, n + 1):
             for k in range(i - longest if i > longest else 0, i):
                 piece = text[k:i]
-                if (piece in ids or k == i - 1) and (last[k] or not k):
-                    key = last[k], piece
-                    ok = pairs.get(key)
-                    if ok is None:
-                        ok = pairs[key] = fits(*key)
-                    if ok:
-                        last[i] = piece
-                        break
+                if (piece in ids or k == i - 1) and (last[k] or not k) and fits(last[k], piece):
+                    last[i] = piece
+                    break
         out = []
         while n:
+            if not last[n]:  # a model whose merges never leave this: none is known
+                return self.merges(text)
             out.append(last[n])
             n -= len(last[n])
         return out[::-1]
 
-    def solve(self, text: str) -> list[int]:
-        out = []
-        for piece in self.path(text):
-            k = self.ids.get(piece)
-            if k is None:
-                out.extend(self.p.bytes_[b] for b in piece.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(k)
-        return out
+    def _ids(self, symbols: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols: characters outside the vocabulary become bytes."""
+        odd = np.flatnonzero(symbols >= self.first)
+        if not len(odd):
+            return symbols, count
+        size = np.ones(len(symbols), np.int64)
+        chars, which = np.unique(symbols[odd] - self.first, return_inverse=True)
+        spelled = [[self.p.bytes_[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in chars]
+        size[odd] = np.array([len(x) for x in spelled])[which]
+        first = np.cumsum(size) - size
+        out = np.repeat(symbols, size)
+        for k, ids in enumerate(spelled):
+            for i, b in enumerate(ids):
+                out[first[odd[which == k]] + i] = b
+        total = np.r_[0, np.cumsum(size)]
+        ends = np.r_[0, np.cumsum(count)]
+        return out, total[ends[1:]] - total[ends[:-1]]
+
+    def symbols(self, cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of spans between hard boundaries, end to end, and how many each has."""
+        size = np.diff(offs)
+        long = np.flatnonzero(size > SIDE_BY_SIDE)
+        out, count = self.side_by_side(cps, offs)
+        if len(long):
+            parts = []
+            for i in long:
+                text = cps[offs[i] : offs[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
+                parts.append(np.array([self.ids[p] if p in self.ids else self.first + ord(p) for p in self.path(text)], np.int32))
+            at = (np.cumsum(count) - count)[long]
+            count[long] = [len(p) for p in parts]
+            out = np.insert(out, np.repeat(at, count[long]), np.concatenate(parts))
+        return out, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of marked texts, one after the other, and how many each has."""
-        text = "".join(texts)
-        if not text:
+        cps = P.code_points("".join(texts))
+        if not len(cps):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        cps = P.code_points(text)
         offs = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
         cut = np.ones(len(cps) + 1, bool)
         cut[1:-1] = self.hard(cps)
         cut[offs] = True
         at = np.flatnonzero(cut)
-        entry = self.memory.look_up(text, cps, at[:-1], at[1:], self.solve)
-        flat, size = self.memory.values(entry)
+        spans = P.distinct(cps, at)
+        ids, count = self._ids(*self.symbols(spans.cps, spans.offs))
+        size = count[spans.which]
         total = np.r_[0, np.cumsum(size)]
+        flat = ids[np.arange(total[-1]) + np.repeat((np.cumsum(count) - count)[spans.which] - total[:-1], size)]
         first = np.searchsorted(at, offs)
         return flat, total[first[1:]] - total[first[:-1]]
 
@@ -164,7 +271,7 @@ class Lattice:
         out = []
         for s in range(max(0, c - self.longest), c):
             for e in range(c, min(len(text), s + self.longest) + 1):
-                if (e == s + 1 or text[s:e] in self.ids) and self.fits("", text[s:e]):
+                if (e == s + 1 or text[s:e] in self.ids) and self.pairs("", text[s:e]):
                     out.append((s, e))
         return out
 
@@ -183,7 +290,7 @@ class Lattice:
                         continue
                     mask = 0
                     for s, m in here.items():
-                        if self.fits(text[s:p] if s >= 0 else "", piece):
+                        if self.pairs(text[s:p] if s >= 0 else "", piece):
                             mask |= m
                     if mask:
                         ends.setdefault(e, {})[p] = mask
@@ -290,7 +397,9 @@ def _cuts(n: int, chunk: int) -> list[int]:
     return [i * chunk for i in range(k)] + [n]
 
 
-_CHUNK_DDL = "_k long, doc_id long, copies long, no int, last boolean, a int, b int, text string"
+_CHUNK_DDL = "_k string, doc_id long, no int, last boolean, a int, b int, text string"
+#: Bytes of chunks that make a batch.
+BATCH = 1 << 22
 
 
 def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -306,31 +415,41 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
     def whole(batches):
         lattice = _lattice(pieces, path)
         for batch in batches:
-            for s in C.slices(batch, limit=SLICE):
+            for s in C.slices(batch):
                 flat, count = lattice.encode([marked(t) for t in s.rows.column("text").to_pylist()])
                 yield pa.record_batch([s.rows.column("doc_id"), C.list_column(flat, count, pa.int32())], ["doc_id", "ids"])
 
     def split(batches):
+        schema = pa.schema([("_k", pa.string()), ("doc_id", pa.int64()), ("no", pa.int32()), ("last", pa.bool_()), ("a", pa.int32()), ("b", pa.int32()), ("text", pa.string())])
+        held, size = [], 0
         for batch in batches:
-            for row in (r for s in C.slices(batch) for r in s.rows.to_pylist()):
-                text = marked(row["text"])
+            for key, doc_id, raw in zip(*(batch.column(c) for c in ("_k", "doc_id", "text"))):
+                text = marked(raw.as_py())
                 cuts = _cuts(len(text), chunk)
                 for no, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     lo, hi = max(0, a - longest), min(len(text), b + longest)
-                    yield pa.record_batch([pa.array([x]) for x in (row["_k"],)] + [pa.array([row["doc_id"]], pa.int64()), pa.array([row["copies"]]), pa.array([no], pa.int32()), pa.array([b == len(text)]), pa.array([a - lo], pa.int32()), pa.array([b - lo], pa.int32()), pa.array([text[lo:hi]])], ["_k", "doc_id", "copies", "no", "last", "a", "b", "text"])
+                    held.append((key.as_py(), doc_id.as_py(), no, b == len(text), a - lo, b - lo, text[lo:hi]))
+                    size += hi - lo
+                    if size >= BATCH:
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
     def matrices(batches):
         lattice = _lattice(pieces, path)
         for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch)):
             rows = [lattice.transfer(r["text"], r["a"], r["b"], r["no"] == 0, r["last"]) for r in batch.to_pylist()]
-            yield pa.record_batch([batch.column("_k"), batch.column("no"), pa.array([[m.to_bytes(-(-m.bit_length() // 8), "little") for m in r] for r in rows], pa.list_(pa.binary()))], ["_k", "no", "matrix"])
+            packed = [[m.to_bytes(-(-m.bit_length() // 8), "little") for m in r] for r in rows]
+            yield pa.record_batch([batch.column("_k"), batch.column("no"), pa.array(packed, pa.list_(pa.binary()))], ["_k", "no", "matrix"])
 
     def states(batches):  # sorted by (_k, no)
         key, held = None, []
 
         def out():
             s = resolve(held)
-            return pa.record_batch([pa.array([key] * len(s)), pa.array(range(len(s)), pa.int32()), pa.array([None, *s[:-1]], pa.int32()), pa.array(s, pa.int32())], ["_k", "no", "enter", "leave"])
+            cols = [pa.array([key] * len(s)), pa.array(range(len(s)), pa.int32()), pa.array([None, *s[:-1]], pa.int32()), pa.array(s, pa.int32())]
+            return pa.record_batch(cols, ["_k", "no", "enter", "leave"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -344,7 +463,7 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
 
     def trace(batches):
         lattice = _lattice(pieces, path)
-        for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch, limit=SLICE)):
+        for batch in (s.rows for whole_batch in batches for s in C.slices(whole_batch)):
             texts = []
             for r in batch.to_pylist():
                 t = r["text"]
@@ -352,18 +471,20 @@ def encode_documents(docs: DataFrame, path: str = P.MODEL, chunk: int = CHUNK) -
                 hi = len(t) if r["last"] else lattice.states(t, r["b"])[r["leave"]][1]
                 texts.append(t[lo:hi])
             flat, count = lattice.encode(texts)
-            yield pa.record_batch([batch.column("_k"), batch.column("doc_id"), batch.column("copies"), batch.column("no"), C.list_column(flat, count, pa.int32())], ["_k", "doc_id", "copies", "no", "ids"])
+            yield pa.record_batch([batch.column("_k"), batch.column("doc_id"), batch.column("no"), C.list_column(flat, count, pa.int32())], ["_k", "doc_id", "no", "ids"])
 
     short = plain.where(~giant).mapInArrow(whole, "doc_id long, ids array<int>")
-    long = plain.where(giant).groupBy(F.xxhash64("doc_id", "text").alias("_k"), "doc_id").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    chunks = C.materialize(long.mapInArrow(split, _CHUNK_DDL).repartition(parts, "_k", "no"))
-    table = chunks.mapInArrow(matrices, "_k long, no int, matrix array<binary>")
-    state = table.repartition(parts, "_k").sortWithinPartitions("_k", "no").mapInArrow(states, "_k long, no int, enter int, leave int")
-    traced = chunks.join(state, ["_k", "no"]).select("_k", "doc_id", "copies", "no", "last", "a", "b", "text", "enter", "leave").mapInArrow(trace, "_k long, doc_id long, copies long, no int, ids array<int>")
-    joined = traced.groupBy("_k", "doc_id").agg(F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
-    whole_ids = joined.select("doc_id", F.flatten("parts.ids").alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_")).drop("_")
-    return short.unionByName(whole_ids)
+    # the chunks are shuffled once and stay in buckets; matrices and states come and go to them; equal rows share chunks
+    long = plain.where(giant).withColumn("_k", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"), 256))
+    chunks = C.bucketed(long.mapInArrow(split, _CHUNK_DDL), parts, "_k", "no")
+    table = chunks.mapInArrow(matrices, "_k string, no int, matrix array<binary>")
+    state = table.repartition(parts, "_k").sortWithinPartitions("_k", "no").mapInArrow(states, "_k string, no int, enter int, leave int")
+    met = chunks.join(state.hint("shuffle_hash"), ["_k", "no"]).select("_k", "doc_id", "no", "last", "a", "b", "text", "enter", "leave")
+    traced = met.mapInArrow(trace, "_k string, doc_id long, no int, ids array<int>")
+    joined = traced.groupBy("_k").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
+    copies = long.groupBy("_k").agg(F.count("*").alias("copies")).join(joined, "_k").select("doc_id", F.flatten("parts.ids").alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_"))
+    return short.unionByName(copies.drop("_"))
 
 
 def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 20):

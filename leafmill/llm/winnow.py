@@ -5,13 +5,15 @@ digits and non-ASCII bytes. Each run of ``k`` letters has a rolling 64-bit hash;
 of every ``w`` hashes in a row the least is chosen, the rightmost of equals. A
 chosen hash is kept once, with the byte offset in the text of its first letter.
 
-Guarantee: two texts that share ``w + k - 1`` letters share a fingerprint; no
-match shorter than ``k`` letters makes one.
+Guarantee: two texts that share ``w + k - 1`` letters (50 with the values set here)
+share a fingerprint; no match shorter than ``k`` letters makes one, but that of two
+whole texts.
 
 Defined results, one row for each input row: a text of at least ``k`` letters
-but too few for a window is one window of all its hashes; null, empty and shorter
-texts have empty lists; equal rows give equal rows; an empty table gives none;
-extra columns don't matter.
+but too few for a window is one window of all its hashes; a shorter one has one
+hash of all its letters; null and empty texts and those without letters have empty
+lists; texts of any length are read whole; equal rows give equal rows; an empty
+table gives none; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-GRAM, WINDOW = 32, 64
+GRAM, WINDOW = 20, 31
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -47,7 +49,14 @@ def chosen(buf: np.ndarray, offs: np.ndarray, k: int, w: int) -> tuple[np.ndarra
         extra = [first[r] + grams[r] - 1 - int(h[first[r] : first[r] + grams[r]][::-1].argmin()) for r in few]
         own = np.sort(np.r_[own, np.array(extra, np.int64)])
     row = np.searchsorted(first, own, "right") - 1
-    return h[own], at[own] - offs[row], np.bincount(row, minlength=n)
+    value = h[own]
+    brief = np.flatnonzero((np.diff(first) > 0) & (grams == 0))
+    if len(brief):
+        value = np.r_[value, C.span_hashes(_FOLD[buf[at]], first[brief], first[brief + 1])]
+        own, row = np.r_[own, first[brief]], np.r_[row, brief]
+        o = np.argsort(row, kind="stable")
+        value, own, row = value[o], own[o], row[o]
+    return value, at[own] - offs[row], np.bincount(row, minlength=n)
 
 
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:

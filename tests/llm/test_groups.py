@@ -1,7 +1,10 @@
 """Operators that compare rows: near-dedup, suffix-array dedup, packing, quality rules, and the pipeline."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -94,6 +97,55 @@ def test_group_edges_connect_what_all_pairs_connect():
         assert roots(n, near.group_edges(np.arange(n), sk, 1)) == roots(n, pairs)
 
 
+def _jaccard(a, b):
+    x, y = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (_words(a), _words(b)))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_about_the_threshold_are_decided_exactly(spark):
+    rows, value = [], {}
+    for g in range(400):  # pairs apart from all others, from well below the threshold to well above it
+        base = prose(20_000 + g, 150)
+        other = _varied(30_000 + g, base, 0.06 + 0.14 * g / 400)
+        rows += [(2 * g, base), (2 * g + 1, other)]
+        value[2 * g + 1] = _jaccard(base, other)
+    got = {x.doc_id: x.keep_id for x in near.near_duplicates(frame(spark, rows)).collect()}
+    assert all(k == i - 1 and value[i] >= near.SIMILAR for i, k in got.items())
+    close = [i for i, v in value.items() if near.SIMILAR <= v < 0.62]
+    alike_ = [i for i, v in value.items() if v >= near.SIMILAR]
+    assert len(close) > 40 and sum(i in got for i in close) >= 0.93 * len(close) and sum(i in got for i in alike_) >= 0.97 * len(alike_)
+    assert sum(near.SIMILAR - 0.07 < v < near.SIMILAR for v in value.values()) > 30  # those that only the exact similarity keeps apart
+
+
+def test_clusters_larger_than_a_small_node(spark):
+    bases = [prose(40_000 + k, 120) for k in range(2)]
+    rows = [(k * 1000 + i, _varied(50_000 + k * 1000 + i, bases[k], 0.05)) for k in range(2) for i in range(near.SMALL + 150)]
+    rows += [(9000 + i, prose(60_000 + i, 90)) for i in range(30)]
+    got = {x.doc_id: x.keep_id for x in near.near_duplicates(frame(spark, rows)).collect()}
+    texts, whole = dict(rows), {0: set(), 1000: set()}
+    for a, b in got.items():
+        whole[b].add(a)
+    assert set(got.values()) == {0, 1000} and all(len(x) >= 0.98 * (near.SMALL + 149) for x in whole.values())
+    assert all(a // 1000 == b // 1000 for a, b in got.items()) and len(texts) > len(got)
+
+
+def test_trees_follow_from_the_recall():
+    assert near.trees_for(1.0) == 1 and near.trees_for(0.55, 0.5) < near.trees_for(0.55, 0.98) < near.trees_for(0.3, 0.98)
+    low, high = near._bounds(near.SIMILAR)
+    assert low < near.SIMILAR * near.TOKENS < high
+
+
+def test_roots_of_edges_in_a_task():
+    r = np.random.default_rng(2)
+    u, v = r.integers(0, 200, 150), r.integers(0, 200, 150)
+    top = {x: x for x in {*u.tolist(), *v.tolist()}}
+    for _ in range(200):
+        for a, b in zip(u.tolist(), v.tolist()):
+            top[a] = top[b] = min(top[a], top[b])
+    names, roots = near._roots_of(u, v)
+    assert dict(zip(names.tolist(), roots.tolist())) == top
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 75), (200, 200)]
     got = {x.g: x.c for x in near.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -108,13 +160,127 @@ def test_suffix_array_and_prefixes(tmp_path, in_memory):
     r = np.random.default_rng(1)
     for n, symbols in ((1, 1), (2, 1), (50, 2), (300, 3), (700, 40), (400, 1)):
         t = np.r_[r.integers(1, symbols + 1, n), 0]
-        got, store = induced.suffix_array(t, 20, str(tmp_path), in_memory)
+        store = induced.Store(str(tmp_path), in_memory)
+        got = induced.suffix_array(t, 20, str(tmp_path), in_memory, store)
         order = sorted(range(n + 1), key=lambda i: t[i:].tolist())
         lcp = [0] + [next((k for k in range(20) if a + k > n or b + k > n or t[a + k] != t[b + k]), 20) for a, b in zip(order, order[1:])]
         assert np.asarray(got.order).tolist() == order and np.asarray(got.lcp).tolist() == lcp
         store.close()
 
 
+@pytest.mark.parametrize("block", [7, 64])
+def test_suffix_array_in_small_blocks(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(induced, "BLOCK", block)
+    test_suffix_array_and_prefixes(tmp_path, 64)
+
+
+def _shard(folder, seed, windows, vocabulary):
+    """A shard whose windows share many passages, and all of them as lists."""
+    r = np.random.default_rng(seed)
+    passages = [r.integers(0, vocabulary, 60).astype(np.uint32) for _ in range(max(1, windows // 8))]
+    held, texts = suffix.Windows(str(folder)), []
+    size = min(suffix.MINI, 25)
+    for at in range(0, windows, 500):
+        rows = []
+        for _ in range(min(500, windows - at)):
+            p = passages[r.integers(len(passages))]
+            rows.append(np.r_[r.integers(0, vocabulary, r.integers(0, 9)), p, r.integers(0, vocabulary, r.integers(0, 9))].astype(np.uint32))
+        n = len(rows)
+        minis = [C.gram_hashes(x.astype(np.uint64), size) for x in rows]
+        mini = np.array([h[C.sliding_argmin(h, 50 - size + 1)[r.integers(len(x) - 49)]] for h, x in zip(minis, rows)]).view(np.int64)
+        doc = np.arange(at, at + n) // 2
+        words = suffix.pa.array([x.tobytes() for x in rows], suffix.pa.binary())
+        held.add(mini, np.zeros(n, bool), doc, doc * 7, r.integers(0, 9, n), r.random(n) < 0.2, words)
+        texts += list(zip(rows, mini.view(np.uint64).tolist(), doc.tolist(), held.parts[-1][4].tolist(), held.parts[-1][5].tolist()))
+    return held, texts
+
+
+def _covered(texts, least=50):
+    """For each window and flag the words that repeats cover, by comparing all grams."""
+    size, where = min(suffix.MINI, 25), defaultdict(list)
+    for w, (x, mini, doc, at, several) in enumerate(texts):
+        h = C.gram_hashes(x.astype(np.uint64), size)
+        own = h[C.sliding_argmin(h, least - size + 1)] == np.uint64(mini)
+        for k in np.flatnonzero(own).tolist():
+            where[tuple(x[k : k + least].tolist())].append((doc, at + k, w, k, several))
+    out = defaultdict(set)
+    for places in where.values():
+        if len(places) > 1 or places[0][4]:
+            lead = min(p[:2] for p in places)
+            first = next(p for p in sorted(places) if p[:2] == lead)
+            for p in places:
+                out[p[2], p is first].update(range(p[3], p[3] + least))
+    return out
+
+
+@pytest.mark.parametrize("in_memory,block", [(1 << 22, 1 << 18), (600, 1 << 18), (600, 100)])
+def test_repeats_in_memory_and_in_files(tmp_path, monkeypatch, in_memory, block):
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(induced, "BLOCK", block)
+    for seed, vocabulary in ((1, 500), (2, 3)):
+        held, texts = _shard(tmp_path, seed, 120, vocabulary)
+        got = defaultdict(set)
+        for w, start, end, lead in suffix.repeats(held, 50, str(tmp_path), in_memory):
+            for i, a, b, flag in zip(w.tolist(), start.tolist(), end.tolist(), lead.tolist()):
+                got[i, flag].update(range(a, b))
+        held.close()
+        assert got == _covered(texts) and got
+
+
+_PEAK = """
+import sys, threading, time
+sys.path.insert(0, sys.argv[1])
+from pathlib import Path
+from tests.llm.test_groups import _shard
+from leafmill.llm import suffix
+held, _ = _shard(Path(sys.argv[2]), 5, 400, 5000)  # code is loaded and tables are made
+list(suffix.repeats(held, 50, sys.argv[2], 1000))
+held.close()
+held, texts = _shard(Path(sys.argv[2]), 6, int(sys.argv[4]), 5000)
+del texts
+now = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("RssAnon")).split()[1]) / 1024
+base, most, on = now(), [0.0], [True]
+def watch():
+    while on[0]:
+        most[0] = max(most[0], now())
+        time.sleep(0.002)
+t = threading.Thread(target=watch)
+t.start()
+n = sum(int((e - s).sum()) for _, s, e, _ in suffix.repeats(held, 50, sys.argv[2], int(sys.argv[3])))
+on[0] = False
+t.join()
+held.close()
+print(n, most[0] - base)
+"""
+
+
+def test_a_shard_ten_times_the_memory_limit_stays_in_files(tmp_path):
+    def run(in_memory):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        out = subprocess.run([sys.executable, "-c", _PEAK, root, str(tmp_path), str(in_memory), "60000"], capture_output=True, text=True, check=True).stdout.split()
+        return int(out[0]), float(out[1])
+
+    words = 60_000 * 68
+    (n, whole), (m, files) = run(1 << 40), run(words // 10)
+    assert n == m and files < whole / 3, (whole, files)
+
+
+def test_the_least_size_has_a_bound_that_is_checked(spark, tmp_path):
+    held, _ = _shard(tmp_path, 1, 10, 50)
+    with pytest.raises(ValueError):
+        next(suffix.repeats(held, induced.MOST + 1))
+    held.close()
+    with pytest.raises(ValueError):
+        suffix.spans(frame(spark, []), induced.MOST + 1)
+
+
+def test_the_largest_size_finds_its_repeats(spark):
+    passage = prose(90, 300)
+    rows = [(1, f"{prose(91, 20)} {passage}"), (2, f"{passage} {prose(92, 20)}")]
+    got = {(x.doc_id, x.duplicate): x.end_word - x.start_word for x in suffix.repeated_passages(frame(spark, rows), induced.MOST).collect()}
+    assert got == {(1, False): 300, (2, True): 300}
+
+
 def _repeated(rows, least):
     """For each (doc_id, text) the words that repeat, and those that are duplicates."""
     docs = sorted({(i is None, i or 0, C_key(i, t), i, t) for i, t in rows if t})
@@ -211,6 +377,12 @@ def test_packing_is_first_fit_decreasing_in_a_group(spark):
     assert [(x.bin, x.bin_offset) for x in got] == _first_fit([x.n_tokens for x in got], 64)
 
 
+def test_equal_rows_spread_over_the_groups(spark):
+    rows = [(7, "word " * 30)] * 900 + [(i, prose(i, 30)) for i in range(100)]
+    sizes = Counter(x.group_id for x in packing.pack(frame(spark, rows), capacity=256, group=100).where("doc_id = 7").collect())
+    assert len(sizes) == 10 and max(sizes.values()) < 150
+
+
 # quality rules
 
 
