@@ -13,11 +13,16 @@ Options: ``view``, ``dictionaryPath`` (without it an embedded dictionary, or one
 ``find_dictionary`` finds), ``mode`` (FAILFAST, or PERMISSIVE to leave
 corrupt chunks out), ``magic``; for writing also ``level``, ``embedDictionary``,
 ``codec`` (zstd or zlib), ``maxDocs`` and ``maxBytes``. A filter on ``doc_idx``
-that is pushed down leaves whole chunks unread.
+that is pushed down leaves whole shards and chunks unread.
+
+A partition is a run of chunks of one shard, of about ``partitionBytes`` encoded bytes
+(64 MiB). Where the folder has a manifest, planning reads nothing else: tasks read
+the indexes of their shards.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import struct
@@ -25,16 +30,32 @@ import uuid
 import zlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
-
-from .files import Ranges, is_url, listed, local
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
+
+from .files import Ranges, exists, folder_of, is_folder, is_url, join, listed, local, move, names, open_output, read_all, remove, replace
 
 MAGIC, VERSION, SUFFIX = b"LEAF", 2, ".leaves"
 MAX_DOCS, MAX_BYTES = 256, 2 << 20
 _HEAD, _CHUNK, _INDEX, _FOOT = struct.Struct(">4sBI"), struct.Struct(">HII"), struct.Struct(">QHI"), struct.Struct(">QQ")
 MANIFEST = "_manifest.json"
+PARTITION_BYTES = 64 << 20
+_DOCUMENTS = pa.schema([("doc_idx", pa.int64()), ("shard", pa.string()), ("chunk_id", pa.int32()), ("encoded", pa.binary())])
+_CHUNKS = pa.schema([("shard", pa.string()), ("chunk_id", pa.int32()), ("file_offset", pa.int64()), ("doc_count", pa.int32()), ("encoded_bytes", pa.int64())])
 DICTIONARY_FILE, DICTIONARY_VARIABLE = "leaves.dict", "LEAFMILL_DICTIONARY"
 _ZSTD = b"\x28\xb5\x2f\xfd"
 
@@ -48,16 +69,16 @@ class DictionaryRequired(ArchiveError):
 
 
 @dataclass
-class Chunk(InputPartition):
+class Run(InputPartition):
+    """The ``part``-th of ``parts`` runs of a shard's chunks; its first document in the whole archive."""
+
     shard: str
-    chunk_id: int
     first_doc: int
-    file_offset: int
-    doc_count: int
-    encoded_bytes: int
+    part: int
+    parts: int
 
     def __post_init__(self):
-        super().__init__((self.shard, self.chunk_id))
+        super().__init__((self.shard, self.part))
 
 
 def compress(data: bytes, codec: str, level: int, dictionary: bytes | None) -> bytes:
@@ -119,7 +140,7 @@ class ArchiveFile:
     """Writes one archive."""
 
     def __init__(self, path: str, dictionary: bytes | None = None, embed: bool = False, codec: str = "zstd", level: int | None = None, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, magic: bytes = MAGIC):
-        self.file, self.dictionary, self.codec = open(path, "wb"), dictionary, codec  # noqa: SIM115
+        self.file, self.dictionary, self.codec = open_output(path), dictionary, codec
         self.level = level if level is not None else 22 if dictionary else 19
         self.max_docs, self.max_bytes = max_docs, max_bytes
         inside = dictionary if embed and dictionary else b""
@@ -160,20 +181,25 @@ def _dictionary(options) -> bytes | None:
 
 def find_dictionary(path: str, given: str | None = None) -> str | None:
     """The dictionary's file: the one given, that of the environment, one beside the archive, or one in this folder."""
-    beside = local(path) if os.path.isdir(local(path)) else os.path.dirname(local(path))
-    for place in (given, os.environ.get(DICTIONARY_VARIABLE), os.path.join(beside, DICTIONARY_FILE), DICTIONARY_FILE):
-        if place and (place == given or os.path.exists(local(place))):
-            return place if is_url(place) else os.path.abspath(local(place))
+    beside = path if not is_url(path) and is_folder(path) else folder_of(path)
+    for place in (given, os.environ.get(DICTIONARY_VARIABLE), join(beside, DICTIONARY_FILE) if beside else None, DICTIONARY_FILE):
+        if place and (place == given or (not is_url(place) and exists(place))):
+            return os.path.abspath(local(place)) if "://" not in place or place.startswith("file:") else place
     return None
 
 
+def manifest_of(path: str) -> list[dict] | None:
+    """The shards of a folder as its manifest has them: name, documents, chunks, encoded bytes."""
+    place = join(path, MANIFEST)
+    if is_url(path) or not exists(place):
+        return None
+    return json.loads(read_all(place))["shards"]
+
+
 def shards_of(path: str) -> list[str]:
     """The shards of a folder in the order of its manifest, else in path order."""
-    manifest = os.path.join(local(path), MANIFEST)
-    if os.path.exists(manifest):
-        with open(manifest) as f:
-            return [os.path.join(local(path), s["shard"]) for s in json.load(f)["shards"]]
-    return listed(path, (SUFFIX,))
+    known = manifest_of(path)
+    return listed(path, (SUFFIX,)) if known is None else [join(path, s["shard"]) for s in known]
 
 
 class _Reader(DataSourceReader):
@@ -187,7 +213,7 @@ class _Reader(DataSourceReader):
                 if isinstance(f, EqualTo):
                     self.low, self.high = max(self.low, f.value), min(f.value if self.high is None else self.high, f.value)
                 elif isinstance(f, In):
-                    self.wanted = set(f.value)
+                    self.wanted = sorted(v for v in f.value if v is not None)
                 elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.low = max(self.low, f.value + isinstance(f, GreaterThan))
                 elif isinstance(f, (LessThan, LessThanOrEqual)):
@@ -195,40 +221,69 @@ class _Reader(DataSourceReader):
                     self.high = top if self.high is None else min(self.high, top)
             yield f  # Spark filters the rows of the chunks that are left
 
+    def _wants(self, first: int, docs: int) -> bool:
+        last = first + docs - 1
+        if last < self.low or (self.high is not None and first > self.high):
+            return False
+        if self.wanted is None:
+            return True
+        k = bisect.bisect_left(self.wanted, first)
+        return k < len(self.wanted) and self.wanted[k] <= last
+
+    def _sizes(self, path: str, magic: bytes):
+        """Path, documents, encoded bytes and chunks of each shard."""
+        known = manifest_of(path)
+        if known is not None and all("docs" in s for s in known):
+            yield from ((join(path, s["shard"]), s["docs"], s["encoded_bytes"], s["chunks"]) for s in known)
+            return
+        for shard in shards_of(path):
+            with Ranges(shard) as r:
+                rows, *_ = read_index(r, magic)
+            yield shard, sum(n for _, n, _ in rows), sum(b for _, _, b in rows), len(rows)
+
+    def _magic(self) -> bytes:
+        return self.options.get("magic", MAGIC.decode()).encode("latin-1")
+
     def partitions(self):
         path = self.options.get("path") or json.loads(self.options.get("paths", "[]"))
-        magic = self.options.get("magic", MAGIC.decode()).encode("latin-1")
+        limit = int(self.options.get("partitionbytes", PARTITION_BYTES))
         out, doc = [], 0
-        for shard in [s for p in ([path] if isinstance(path, str) else path) for s in shards_of(p)]:
-            with Ranges(shard) as r:
-                rows, *_ = read_index(r, magic)
-            for i, (offset, docs, total) in enumerate(rows):
-                last = doc + docs - 1
-                if last >= self.low and (self.high is None or doc <= self.high) and (self.wanted is None or any(doc <= w <= last for w in self.wanted)):
-                    out.append(Chunk(shard, i, doc, offset, docs, total))
+        for p in [path] if isinstance(path, str) else path:
+            for shard, docs, total, chunks in self._sizes(p, self._magic()):
+                if docs and self._wants(doc, docs):
+                    parts = max(1, min(chunks, -(-total // limit)))
+                    out += [Run(shard, doc, k, parts) for k in range(parts)]
                 doc += docs
-        return out or [Chunk("", -1, 0, 0, 0, 0)]
+        return out or [Run("", 0, 0, 1)]
 
-    def read(self, c: Chunk):
-        if c.chunk_id < 0:
-            return
-        if self.options.get("view", "documents") == "chunks":
-            yield c.shard, c.chunk_id, c.file_offset, c.doc_count, c.encoded_bytes
+    def read(self, part: Run):
+        if not part.shard:
             return
-        with Ranges(c.shard) as r:
-            _, _, size = _HEAD.unpack(r.read(0, _HEAD.size))
+        with Ranges(part.shard) as r:
+            rows, size, *_ = read_index(r, self._magic())
+            lo, hi = part.part * len(rows) // part.parts, (part.part + 1) * len(rows) // part.parts
+            if self.options.get("view", "documents") == "chunks":
+                cols = [[part.shard] * (hi - lo), range(lo, hi), *zip(*rows[lo:hi])]
+                if lo < hi:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _CHUNKS)], schema=_CHUNKS)
+                return
             given = _dictionary(self.options) if self.chosen or not size else None
             given = given or r.read(_HEAD.size, size) or None
-            try:
-                docs = read_chunk(r, c.file_offset, c.doc_count, c.encoded_bytes, given)
-            except DictionaryRequired:
-                raise
-            except Exception:
-                if self.options.get("mode", "FAILFAST").upper() != "PERMISSIVE":
-                    raise
-                return
-        for k, d in enumerate(docs):
-            yield c.first_doc + k, c.shard, c.chunk_id, d
+            first = part.first_doc + sum(n for _, n, _ in rows[:lo])
+            for i, (offset, docs, total) in enumerate(rows[lo:hi], lo):
+                if self._wants(first, docs):
+                    try:
+                        found = read_chunk(r, offset, docs, total, given)
+                    except DictionaryRequired:
+                        raise
+                    except Exception:
+                        if self.options.get("mode", "FAILFAST").upper() != "PERMISSIVE":
+                            raise
+                        found = []
+                    if found:
+                        cols = [range(first, first + docs), [part.shard] * docs, [i] * docs, found]
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _DOCUMENTS)], schema=_DOCUMENTS)
+                first += docs
 
 
 @dataclass
@@ -240,51 +295,53 @@ class _Written(WriterCommitMessage):
     encoded_bytes: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
+    """Shards are written aside and moved on commit; option ``batch``: a number that the manifest keeps, see ``batches_of``."""
+
     def __init__(self, options, schema, overwrite: bool):
         self.options, self.overwrite = options, overwrite
-        self.folder, self.column = local(options["path"]), schema.fieldNames().index("encoded")
+        self.folder, self.column = options["path"], schema.fieldNames().index("encoded")
+        self.aside = join(self.folder, "_temporary")
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
-        os.makedirs(os.path.join(self.folder, "_temporary"), exist_ok=True)
         o, order = self.options, TaskContext.get().partitionId()
         name = f"part-{order:06d}-{uuid.uuid4().hex}{SUFFIX}"
         f = ArchiveFile(
-            os.path.join(self.folder, "_temporary", name), _dictionary(o), o.get("embeddictionary", "false").lower() == "true", o.get("codec", "zstd"),
+            join(self.aside, name), _dictionary(o), o.get("embeddictionary", "false").lower() == "true", o.get("codec", "zstd"),
             int(o["level"]) if "level" in o else None, int(o.get("maxdocs", MAX_DOCS)), int(o.get("maxbytes", MAX_BYTES)), o.get("magic", MAGIC.decode()).encode("latin-1"),
         )
-        for row in rows:
-            if row[self.column] is not None:
-                f.append(bytes(row[self.column]))
+        for batch in batches:
+            for encoded in batch.column(self.column).drop_null().to_pylist():
+                f.append(encoded)
         f.close()
         return _Written(name, order, f.docs, len(f.index), f.encoded)
 
     def commit(self, messages):
-        old = [] if self.overwrite else [{"shard": os.path.basename(s)} for s in shards_of(self.folder)] if os.path.exists(os.path.join(self.folder, MANIFEST)) else []
+        old = [] if self.overwrite else manifest_of(self.folder) or []
         new = []
         for m in sorted((m for m in messages if m and m.docs), key=lambda m: m.order):
-            os.replace(os.path.join(self.folder, "_temporary", m.name), os.path.join(self.folder, m.name))
-            new.append({"shard": m.name, "docs": m.docs, "chunks": m.chunks, "encoded_bytes": m.encoded_bytes})
-        if old:
-            with open(os.path.join(self.folder, MANIFEST)) as f:
-                old = json.load(f)["shards"]
-        with open(os.path.join(self.folder, MANIFEST + ".new"), "w") as f:
-            json.dump({"shards": old + new}, f)
-        os.replace(os.path.join(self.folder, MANIFEST + ".new"), os.path.join(self.folder, MANIFEST))
+            move(join(self.aside, m.name), join(self.folder, m.name))
+            new.append({"shard": m.name, "docs": m.docs, "chunks": m.chunks, "encoded_bytes": m.encoded_bytes} | ({"batch": int(self.options["batch"])} if "batch" in self.options else {}))
+        replace(join(self.folder, MANIFEST), json.dumps({"shards": old + new}).encode())
         self._clear({s["shard"] for s in old + new})
 
     def abort(self, messages):
         for m in messages:
-            if m and os.path.exists(p := os.path.join(self.folder, "_temporary", m.name)):
-                os.unlink(p)
+            if m and exists(p := join(self.aside, m.name)):
+                remove(p)
 
     def _clear(self, keep: set[str]) -> None:
-        for folder in (self.folder, os.path.join(self.folder, "_temporary")):
-            for n in os.listdir(folder) if os.path.isdir(folder) else ():
+        for folder in (self.folder, self.aside):
+            for n in names(folder):
                 if n.endswith(SUFFIX) and (n not in keep or folder != self.folder) and (self.overwrite or folder != self.folder):
-                    os.unlink(os.path.join(folder, n))
+                    remove(join(folder, n))
+
+
+def batches_of(path: str) -> set[int]:
+    """Numbers of the micro-batches whose shards are in the archive; kept with the shards, in one rename."""
+    return {s["batch"] for s in manifest_of(path) or [] if "batch" in s}
 
 
 class ArchiveSource(DataSource):
@@ -331,10 +388,30 @@ def write_archive(docs: DataFrame, path: str, order: str = "doc_idx", shards: in
 
 
 def archive_info(spark: SparkSession, path: str, **options) -> DataFrame:
-    """One row: documents, chunks, file bytes, encoded bytes, ratio."""
-    size = sum(os.path.getsize(s) for s in shards_of(path))
+    """One row: documents, chunks, bytes of the files and of their chunks alone, encoded bytes, ratio of the files to these, per cent saved by the chunks.
+
+    For files, folders and addresses; each shard's index is read by a task.
+    """
+    magic = options.get("magic", MAGIC.decode()).encode("latin-1")
+
+    def measure(batches):
+        for batch in batches:
+            rows = []
+            for shard in batch.column(0).to_pylist():
+                with Ranges(shard) as r:
+                    index, _, at, size = read_index(r, magic)
+                rows.append((sum(n for _, n, _ in index), len(index), size, at - index[0][0] if index else 0, sum(b for _, _, b in index)))
+            if rows:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], _COUNTS)
+
+    shards = shards_of(path)
+    each = spark.createDataFrame([(s,) for s in shards], "shard string").repartition(max(1, len(shards) // 16))
+    counted = each.mapInArrow(measure, ", ".join(f"{c} bigint" for c in _COUNTS))
     total = F.sum("encoded_bytes")
-    return archive_chunks(spark, path, **options).agg(
-        F.sum("doc_count").alias("docs"), F.count("*").alias("chunks"), F.lit(size).cast("bigint").alias("file_bytes"),
-        total.alias("encoded_bytes"), (F.lit(size) / total).alias("ratio"),
+    return counted.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS), (F.sum("file_bytes") / total).alias("ratio"),
+        F.round(100 * (1 - F.sum("chunk_bytes") / F.greatest(total, F.lit(1))), 2).alias("saved_percent"),
     )
+
+
+_COUNTS = ["docs", "chunks", "file_bytes", "chunk_bytes", "encoded_bytes"]
