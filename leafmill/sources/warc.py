@@ -11,27 +11,30 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
 import urllib.request
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.vocabulary import DEFAULT, Vocabulary
-from .files import is_url, listed, local
+from .files import exists, is_url, join, listed, move, names, open_input, open_output, remove
 
 SUFFIXES = (".warc", ".warc.gz")
 MARK = "WARC-Leaf-Version"
 ENCODED_TYPE = "application/x-leaf-html"
+#: Bytes of payloads that make a batch.
+BATCH = 4 << 20
+_SCHEMA = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("warc_headers", pa.map_(pa.string(), pa.string())), ("raw_header", pa.binary()), ("payload", pa.binary())])
 
 
 def _open(path: str):
-    raw = urllib.request.urlopen(path) if is_url(path) else open(local(path), "rb")  # noqa: SIM115
+    raw = urllib.request.urlopen(path) if is_url(path) else open_input(path)
     return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if path.endswith(".gz") else raw
 
 
@@ -71,10 +74,22 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in listed(self.path, SUFFIXES)] or [_File("")]
 
     def read(self, part: _File):
-        if part.path:
-            with _open(part.path) as f:
-                for i, (raw, headers, payload) in enumerate(records(f)):
-                    yield part.path, i, headers, raw, payload
+        if not part.path:
+            return
+        held, size = [], 0
+        with _open(part.path) as f:
+            for i, (raw, headers, payload) in enumerate(records(f)):
+                held.append((part.path, i, list(headers.items()), raw, payload))
+                size += len(raw) + len(payload)
+                if size >= BATCH:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
 @dataclass
@@ -83,37 +98,37 @@ class _Written(WriterCommitMessage):
     count: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options, schema, overwrite):
-        self.folder, self.overwrite = local(options["path"]), overwrite
+        self.folder, self.overwrite = options["path"], overwrite
+        self.aside = join(self.folder, "_temporary")
         self.packed = options.get("compress", "true").lower() == "true"
         self.column = schema.fieldNames().index("record")
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
-        os.makedirs(os.path.join(self.folder, "_temporary"), exist_ok=True)
         name, count = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc{'.gz' if self.packed else ''}", 0
-        with open(os.path.join(self.folder, "_temporary", name), "wb") as f:
-            for row in rows:
-                data = bytes(row[self.column])
-                f.write(gzip.compress(data, mtime=0) if self.packed else data)
-                count += 1
+        with open_output(join(self.aside, name)) as f:
+            for batch in batches:
+                for data in batch.column(self.column).drop_null().to_pylist():
+                    f.write(gzip.compress(data, mtime=0) if self.packed else data)
+                    count += 1
         return _Written(name, count)
 
     def commit(self, messages):
         if self.overwrite:
-            for n in os.listdir(self.folder):
+            for n in names(self.folder):
                 if n.endswith(SUFFIXES):
-                    os.unlink(os.path.join(self.folder, n))
+                    remove(join(self.folder, n))
         for m in messages:
-            source = os.path.join(self.folder, "_temporary", m.name)
-            os.replace(source, os.path.join(self.folder, m.name)) if m.count else os.unlink(source)
+            source = join(self.aside, m.name)
+            move(source, join(self.folder, m.name)) if m.count else remove(source)
 
     def abort(self, messages):
         for m in messages:
-            if m and os.path.exists(p := os.path.join(self.folder, "_temporary", m.name)):
-                os.unlink(p)
+            if m and exists(p := join(self.aside, m.name)):
+                remove(p)
 
 
 class WarcSource(DataSource):
@@ -153,17 +168,30 @@ def split_response(payload) -> Column:
     gap = F.when(crlf > 0, 4).otherwise(2)
     head = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise("")
     lines = F.split(head, "\r?\n")
-    pairs = F.transform(F.filter(F.slice(lines, 2, 10_000), lambda line: F.instr(line, ":") > 0), T.header_pair)
+    pairs = F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.instr(line, ":") > 0), T.header_pair)
     last = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["name"])), lambda n: F.struct(n, F.element_at(F.filter(pairs, lambda x: x["name"] == n), -1)["value"])))
     body = F.when(at > 0, F.substring(p, at + gap, F.octet_length(p))).otherwise(p)
     return F.struct(F.when(at > 0, lines[0]).alias("status"), F.when(at > 0, last).otherwise(F.create_map().cast("map<string,string>")).alias("headers"), body.alias("body"))
 
 
+def says_html(content_type) -> Column:
+    """Whether a type is given and says text/html, in lower case; what the crawl benchmarks count."""
+    return F.contains(F.coalesce(content_type, F.lit("")), F.lit("text/html"))
+
+
 def is_html_response(warc_type, content_type, body) -> Column:
-    """A response with a body that says text/html, or says nothing and looks like it."""
-    start = F.decode(F.substring(body, 1, 512), "ISO-8859-1")
-    sniffed = content_type.isNull() & start.rlike(r"^[ \t\n\r\f\x0B]*(<!|<h)")
-    return (F.lower(warc_type) == "response") & (F.octet_length(body) > 0) & (F.coalesce(F.contains(content_type, F.lit("text/html")), F.lit(False)) | sniffed)
+    """A response with a body that says text/html, or says nothing and, blanks aside, begins with ``<!`` or ``<h`` in either case."""
+    nothing = F.coalesce(content_type, F.lit("")) == ""
+    sniffed = F.when(nothing, F.decode(body, "ISO-8859-1").rlike(r"\A[ \t\n\r\f\x0B]*<[!hH]")).otherwise(F.lit(False))
+    return F.coalesce((F.lower(warc_type) == "response") & (F.octet_length(body) > 0) & (says_html(content_type) | sniffed), F.lit(False))
+
+
+def record_flags(warc: DataFrame) -> DataFrame:
+    """Records with ``is_response``, ``is_html`` (its type says HTML or encoded HTML) and ``is_encoded`` (it has the mark)."""
+    r = warc.withColumn("_type", F.coalesce(split_response("payload")["headers"]["content-type"], F.lit("")))
+    response = F.coalesce(F.lower(F.col("warc_headers")["warc-type"]) == "response", F.lit(False))
+    html = response & (F.octet_length("payload") > 0) & (says_html(F.col("_type")) | F.contains("_type", F.lit(ENCODED_TYPE)))
+    return r.withColumns({"is_response": response, "is_html": html, "is_encoded": F.col("warc_headers")[MARK.lower()].isNotNull()}).drop("_type")
 
 
 def html_responses(warc: DataFrame) -> DataFrame:
@@ -206,9 +234,8 @@ def _through(warc: DataFrame) -> Column:
 
 def encode_records(warc: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """``file, record_no, record, done``: HTML bodies encoded; other records, and what can't be encoded, pass through."""
-    r = warc.withColumn("_http", split_response("payload"))
-    kind = F.coalesce(F.col("_http.headers")["content-type"], F.lit(""))
-    wanted = (F.lower(F.col("warc_headers")["warc-type"]) == "response") & (F.octet_length("_http.body") > 0) & F.contains(kind, F.lit("text/html"))
+    r = record_flags(warc).withColumn("_http", split_response("payload"))
+    wanted = F.col("is_html") & ~F.col("is_encoded") & (F.octet_length("_http.body") > 0)
     r = r.withColumn("_new", H.encode_html(F.when(wanted, F.col("_http.body")), vocabulary))
     done = F.col("_new").isNotNull()
     return r.select("file", "record_no", F.when(done, rebuild_record(F.col("raw_header"), F.col("_http.status"), F.col("_new"), True)).otherwise(_through(r)).alias("record"), done.alias("done"))
