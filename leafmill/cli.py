@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 
@@ -14,10 +15,21 @@ def _session():
 
 
 def pack(spark, a) -> None:
-    from .functions import html as H
     from .sources import archive, folders
 
-    archive.write_archive(folders.read_folder(spark, a.source).withColumn("encoded", H.encode_html("content")).where("encoded is not null"), a.target, **_options(a))
+    _write(archive, folders.read_folder(spark, a.source), "content", a)
+
+
+def _write(archive, docs, html: str, a) -> None:
+    """Encodes and writes; tells how many pages can't be encoded and are left out."""
+    from pyspark.sql import functions as F
+
+    from .operators import metrics
+
+    encoded, seen = metrics.observed_encoding(docs, html)
+    archive.write_archive(encoded.where(F.col("encoded").isNotNull()), a.target, **_options(a))
+    if seen.get["failed"]:
+        print(f"{seen.get['failed']} pages can't be encoded and are left out", file=sys.stderr)
 
 
 def unpack(spark, a) -> None:
@@ -36,16 +48,27 @@ def info(spark, a) -> None:
 
 
 def get(spark, a) -> None:
+    """A document by its place, or of a corpus of the registry by place or title."""
     from .functions import html as H
-    from .operators import select
+    from .operators import catalog, select
     from .sources import archive
-
-    docs = archive.read_archive(spark, a.source, **_options(a))
-    count = archive.archive_chunks(spark, a.source).agg({"doc_count": "sum"}).first()[0] or 0
-    row = select.get(docs, a.index, count).select((H.decode_text("encoded") if a.text else H.decode_html("encoded")).alias("t")).first()
+    from .sources.files import exists, is_url
+
+    source, ref = a.source, a.index
+    if not is_url(source) and not exists(source):
+        source, ref = catalog.resolve(spark, catalog.load_registry(_registry(a)), source, ref, a.kept)
+    docs = archive.read_archive(spark, source, **_options(a))
+    count = archive.archive_chunks(spark, source).agg({"doc_count": "sum"}).first()[0] or 0
+    row = select.get(docs, int(ref), count).select((H.decode_text("encoded") if a.text else H.decode_html("encoded")).alias("t")).first()
     print(row.t)
 
 
+def _registry(a) -> str:
+    if not a.registry:
+        raise ValueError(f"{a.source} isn't there; for a corpus give --registry")
+    return a.registry
+
+
 def stream(spark, a) -> None:
     from .functions import html as H
     from .operators import select
@@ -71,14 +94,12 @@ def corpora(spark, a) -> None:
 
 
 def from_warc(spark, a) -> None:
-    from .functions import html as H
     from .sources import archive, folders, warc
 
     pages = warc.html_responses(warc.read_warc(spark, a.source))
     if pages.isEmpty():
         raise ValueError(f"no HTML responses in {a.source}")
-    docs = folders.with_index(pages.withColumn("encoded", H.encode_html("body")).where("encoded is not null"), "file", "record_no")
-    archive.write_archive(docs, a.target, **_options(a))
+    _write(archive, folders.with_index(pages, "file", "record_no"), "body", a)
 
 
 def to_warc(spark, a) -> None:
@@ -146,7 +167,9 @@ def main(args: list[str] | None = None, spark=None) -> int:
         if name in _TWO:
             p.add_argument("target")
         if name == "get":
-            p.add_argument("index", type=int)
+            p.add_argument("index")
+            p.add_argument("--registry")
+            p.add_argument("--kept", default=os.path.expanduser("~/.cache/leafmill"))
         if name == "search":
             p.add_argument("query")
         p.add_argument("--text", action="store_true")

@@ -8,25 +8,20 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
-import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title
-from ..sources.files import is_url, local
+from ..sources.files import exists, is_url, join, read_all, replace
+from ..sources.folders import with_index
 
 CORPUS_DDL = "name string, base string, shards array<string>, shard_docs array<bigint>, titles string, title string, docs bigint, snapshot string, license string"
 KEPT_SECONDS = 3600
-
-
-def _bytes(address: str) -> bytes:
-    if is_url(address):
-        with urllib.request.urlopen(address, timeout=30) as r:
-            return r.read()
-    with open(local(address), "rb") as f:
-        return f.read()
+#: Indexes in a cell of the join of indexes with shards, as a power of two.
+CELL = 16
 
 
 def load_registry(address: str, cache: str | None = None) -> dict:
@@ -34,15 +29,13 @@ def load_registry(address: str, cache: str | None = None) -> dict:
     if cache and os.path.exists(cache) and time.time() - os.path.getmtime(cache) < KEPT_SECONDS:
         address, cache = cache, None
     try:
-        data = _bytes(address)
+        data = read_all(address)
     except OSError:
         if not cache or not os.path.exists(cache):
             raise
-        return json.loads(_bytes(cache))
+        return json.loads(read_all(cache))
     if cache:
-        with open(cache + ".new", "wb") as f:
-            f.write(data)
-        os.replace(cache + ".new", cache)
+        replace(cache, data)
     return json.loads(data)
 
 
@@ -59,9 +52,36 @@ def parse_titles(lines: DataFrame) -> DataFrame:
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
-    """A title file, plain or gzip: it isn't split, so the order of reading is the order of its lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return parse_titles(lines.where("value <> ''").withColumn("line_no", F.col("line_no").cast("bigint")))
+    """A title file, plain or gzip, numbered in the order of its lines, which are read one by one and in parallel splits where it is plain."""
+    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}  # which ascends within a split
+    lines = spark.read.text(path).select("value", *(c.alias(n) for n, c in at.items())).where("value <> ''")
+    numbered = with_index(lines.withColumn("value", F.regexp_replace("value", "\r$", "")), *at, name="line_no")
+    return parse_titles(numbered)
+
+
+def fetch_titles(registry: dict, corpus: str, folder: str) -> str:
+    """The place of a corpus's title file: fetched once into ``folder``, and kept without end."""
+    entry = registry[corpus]
+    kept = join(folder, f"titles-{corpus}.tsv.gz")
+    if not exists(kept):
+        replace(kept, read_all(f"{entry['base'].rstrip('/')}/{entry['titles']}"))
+    return kept
+
+
+def resolve(spark: SparkSession, registry: dict, corpus: str, ref: str, folder: str) -> tuple[str, int]:
+    """The shard's address and the place in it of a document of a corpus, given by a global index or by its title."""
+    if corpus not in registry:
+        raise KeyError(f"{corpus} is no corpus of the registry")
+    shards = resolve_sources(corpus, registry)
+    if re.fullmatch(r"-?\d+", ref.strip()):
+        wanted = spark.createDataFrame([(corpus, int(ref))], "name string, idx long")
+        row = resolve_indexes(wanted, corpora(spark, {corpus: registry[corpus]})).select("shard", F.col("within").alias("idx")).first()
+    else:
+        titles = read_titles(spark, fetch_titles(registry, corpus, folder))
+        row = lookup_titles(titles, spark.createDataFrame([(ref.strip(),)], "query string")).select("shard", "idx").first()
+    if row is None:
+        raise IndexError(f"{corpus} has no document {ref}")
+    return shards[row.shard], row.idx
 
 
 def search_titles(titles: DataFrame, query: str, limit: int = 25) -> DataFrame:
@@ -90,18 +110,24 @@ def resolve_indexes(wanted: DataFrame, corpus: DataFrame, index: str = "idx") ->
     s = c.select("name", F.posexplode_outer("shard_docs").alias("shard", "_n"))
     w = Window.partitionBy("name").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumn("_hi", F.sum("_n").over(w)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    joined = wanted.join(s, "name").where(
-        F.col("_n").isNull() | ((F.col(index) >= F.col("_lo")) & (F.col(index) < F.col("_hi"))) | ((F.col(index) < 0) & (F.col("shard") == 0))
-    )
-    lone = F.col("_n").isNull() | (F.col(index) < 0)
-    return joined.select(*wanted.columns, F.when(lone, 0).otherwise(F.col("shard")).cast("int").alias("shard"), F.when(lone, F.col(index)).otherwise(F.col(index) - F.col("_lo")).cast("long").alias("within"))
+    # both sides meet in the same cells of indexes, so an index isn't tried with every shard of its corpus
+    cells = F.sequence(F.shiftright("_lo", CELL), F.shiftright(F.col("_hi") - 1, CELL))
+    ranges = s.where("_n > 0").withColumn("_cell", F.explode(cells)).select("name", "shard", "_lo", "_hi", "_cell")
+    # without counts, or before the start, all is in shard 0
+    lone = c.select("name", F.lit(0).alias("shard"), F.lit(None).cast("bigint").alias("_lo"), F.lit(None).cast("bigint").alias("_hi"), F.explode(F.when(F.coalesce(F.size("shard_docs"), F.lit(0)) > 0, F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), F.lit(-2)))).alias("_cell"))
+    counted = c.select("name", (F.coalesce(F.size("shard_docs"), F.lit(0)) > 0).alias("_counted"))
+    at = F.col(index).cast("bigint")
+    ready = wanted.join(counted, "name").withColumn("_cell", F.when(at < 0, F.lit(-1)).when(~F.col("_counted"), F.lit(-2)).otherwise(F.shiftright(at, CELL)).cast("bigint"))
+    joined = ready.join(ranges.unionByName(lone), ["name", "_cell"]).where(F.col("_lo").isNull() | ((at >= F.col("_lo")) & (at < F.col("_hi"))))
+    return joined.select(*wanted.columns, F.col("shard").cast("int").alias("shard"), (at - F.coalesce("_lo", F.lit(0))).cast("long").alias("within"))
 
 
 def resolve_sources(source: str, registry: dict | None = None) -> list[str]:
     """A file or address as it is; the name of a corpus as the addresses of all its shards."""
-    if is_url(source) or os.path.exists(local(source)):
+    if is_url(source) or exists(source):
         return [source]
     c = (registry or {}).get(source)
     if c is None:
         raise KeyError(f"{source} is neither a file, an address nor a corpus")
-    return [f"{(c.get('base') or '').rstrip('/')}/{s}".lstrip("/") if not is_url(s) else s for s in c["shards"]]
+    base = c.get("base")
+    return [join(base, s) if base and not is_url(s) else s for s in c["shards"]]
