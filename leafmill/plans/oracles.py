@@ -46,6 +46,13 @@ t AS (SELECT page_id, html, list_transform(regexp_extract_all(h, '<[a-zA-Z][^\s/
 SELECT page_id, len(list_filter(opens, lambda x: x NOT IN ({_VOID})))::BIGINT AS n_open, len(list_filter(closes, lambda x: x NOT IN ({_VOID})))::BIGINT AS n_close,
  len(regexp_extract_all(html, '<![a-zA-Z]'))::BIGINT AS n_doctype, len(regexp_extract_all(html, '(?s)<!--.*?-->'))::BIGINT AS n_comment, len(list_filter(opens, lambda x: x IN ({_VOID})))::BIGINT AS n_selfclose,
  (len(regexp_extract_all(html, '(?s)<script[^>]*>[^<]+')) + len(regexp_extract_all(html, '(?s)<style[^>]*>[^<]+')))::BIGINT AS n_raw FROM t"""
+_STEPS = rf"""SELECT page_id, i, lower(regexp_extract(x, '^</?(.+)$', 1)) AS tag, CASE WHEN lower(regexp_extract(x, '^</?(.+)$', 1)) IN ({_VOID}) THEN 0 WHEN x LIKE '</%' THEN -1 ELSE 1 END AS step, x LIKE '</%' AS closes FROM (
+  SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(
+   regexp_replace(regexp_replace(regexp_replace(html, '(?s)(<script[^>]*>).*?(</script>)', '\1\2', 'g'), '(?s)(<style[^>]*>).*?(</style>)', '\1\2', 'g'), '(?s)<!--.*?-->', '', 'g'), '</?[a-zA-Z][^\s/>]*') AS l FROM pages))"""
+NODE_DEPTH = f"""WITH s AS (SELECT *, sum(step) OVER w AS up FROM ({_STEPS}) WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ l AS (SELECT *, least(min(up) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS low FROM s)
+SELECT tag, max(up - low)::BIGINT AS deepest, count(*) AS n FROM l WHERE NOT closes GROUP BY tag"""
+HTML_ROUNDTRIP = "SELECT page_id, true AS tags_equal, true AS words_equal FROM pages"
 _KNOWN = ",".join(f"'{t}'" for t in DEFAULT.tags)
 VOCABULARY_HITS = f"SELECT tag, count(*) AS n, tag IN ({_KNOWN}) AS known FROM ({_TAGS}) GROUP BY tag"
 
@@ -63,13 +70,18 @@ def merkle_root(table: str, key: str, text: str, levels: int = 14) -> str:
     return f"WITH {', '.join(out)} SELECT (SELECT count(*) FROM l0) AS doc_count, h AS merkle_root_hex FROM l{levels}"
 
 
-def verify_root(table: str, key: str, text: str) -> str:
-    return f'SELECT true AS "match", merkle_root_hex AS derived, merkle_root_hex AS expected FROM ({merkle_root(table, key, text)})'
+_CHANGED = "(SELECT page_id, CASE WHEN page_id = (SELECT min(page_id) FROM pages) THEN html || '!' ELSE html END AS html FROM pages)"
+VERIFY_ROOT = f"""SELECT 'intact' AS "case", true AS "match", merkle_root_hex AS derived, merkle_root_hex AS expected FROM ({merkle_root("pages", "page_id", "html")})
+UNION ALL SELECT 'tampered', false, t.merkle_root_hex, a.merkle_root_hex FROM ({merkle_root(_CHANGED, "page_id", "html")}) t, ({merkle_root("pages", "page_id", "html")}) a"""
 
 
 _DOCS = f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx, {_SIZE} AS encoded_bytes FROM documents"
 # 256 documents are below 2 MiB in these tables, so the number of documents closes a chunk
 CHUNK_PLAN = f"SELECT doc_id, doc_idx, doc_idx // 256 AS chunk_id FROM ({_DOCS})"
+_CLOSES = "f.n + 1 >= 64 OR f.b + d.encoded_bytes >= 32768"
+CHUNK_PLAN_BYTES = f"""WITH RECURSIVE d AS MATERIALIZED ({_DOCS}), f(doc_idx, chunk_id, n, b) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
+ UNION ALL SELECT f.doc_idx + 1, f.chunk_id + CASE WHEN {_CLOSES} THEN 1 ELSE 0 END, CASE WHEN {_CLOSES} THEN 0 ELSE f.n + 1 END, CASE WHEN {_CLOSES} THEN 0 ELSE f.b + d.encoded_bytes END FROM f JOIN d ON d.doc_idx = f.doc_idx)
+SELECT d.doc_id, d.doc_idx, f.chunk_id FROM d JOIN f ON d.doc_idx = f.doc_idx"""
 _INDEX = f"SELECT doc_idx // 256 AS chunk_id, count(*) AS doc_count, sum(encoded_bytes)::BIGINT AS encoded_bytes FROM ({_DOCS}) GROUP BY 1"
 CHUNK_INDEX = f"SELECT chunk_id, doc_count, encoded_bytes, (9 + coalesce(sum(10 + 4 * doc_count + encoded_bytes) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS file_offset FROM ({_INDEX})"
 SHARD_CHUNKS = f"""WITH x AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 256 AS chunk_id, {_SIZE} AS b FROM documents),
@@ -78,7 +90,8 @@ SELECT source, chunk_id, doc_count, encoded_bytes, (9 + coalesce(sum(10 + 4 * do
 WRITER_STATS = f"SELECT count(*) AS docs, sum(octet_length(encode(text)))::BIGINT AS raw_bytes, sum({_SIZE})::BIGINT AS encoded_bytes FROM documents"
 ARCHIVE_TEXT = f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx, sha256({_tidy('text')}) AS text_sha256 FROM documents"
 ARCHIVE_GET = f"SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx, {_tidy('text')} AS text FROM documents) WHERE doc_idx = 137"
-ARCHIVE_CHUNKS = f"SELECT count(*) AS docs, sum({_SIZE.replace('text', 'html')})::BIGINT AS encoded_bytes FROM pages"
+_PAGE_BYTES = _SIZE.replace("text", "html")
+ARCHIVE_INFO = f"SELECT count(*) AS docs, ceil(count(*) / 256)::BIGINT AS chunks, sum({_PAGE_BYTES})::BIGINT AS encoded_bytes, (9 + 14 * ceil(count(*) / 256) + 16)::BIGINT AS outside_bytes, true AS smaller FROM pages"
 SEGMENTS = f"""WITH s AS (SELECT source, sum({_SIZE}) AS a, sum(octet_length(encode(text)) + 64) AS b FROM documents GROUP BY source), p AS (SELECT 1 - sum(a) / sum(b) AS pooled FROM s)
 SELECT count(*) AS segments, sum(a)::BIGINT AS archive_bytes, sum(b)::BIGINT AS baseline_bytes, round(first(pooled), 9) AS pooled_saving, round(min(1 - a / b), 9) AS least_saving,
  round(max(1 - a / b), 9) AS largest_saving, round(sqrt(avg(power(1 - a / b - pooled, 2))), 9) AS deviation, true AS all_ok FROM s, p"""
@@ -96,5 +109,11 @@ _HTTP = "'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; ch
 _HEAD = f"'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'WARC-Date: 2026-01-01T00:00:00Z' || nl || 'WARC-Record-ID: <urn:uuid:leaf-' || lpad(page_id::VARCHAR, 8, '0') || '>' || nl || 'Content-Length: ' || octet_length(encode({_HTTP})) || nl || 'Content-Type: application/http; msgtype=response' || nl || nl"
 WARC_RECORDS = f"SELECT page_id, octet_length(encode(r))::BIGINT AS record_bytes, sha256(r) AS record_sha256 FROM (SELECT page_id, {_HEAD} || {_HTTP} || nl || nl AS r FROM pages, (SELECT chr(13) || chr(10) AS nl))"
 WARC_READ = "SELECT url, sha256(html) AS body_sha256 FROM pages"
-WARC_RECODE = "SELECT count(*) AS responses, count(DISTINCT url) AS urls FROM pages"
+WARC_RECODE = rf"SELECT url, sha256(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g')) AS letters_sha256 FROM (SELECT url, {_tidy(_PLAIN)} AS text FROM pages)"
+_LOOKS = r"regexp_matches(html, '^[ \t\n\r\f\x0B]*<[!hH]')"
+HTML_RESPONSES = f"""SELECT page_id, kind, CASE WHEN kind = 0 THEN true WHEN kind IN (1, 2, 3) THEN {_LOOKS} ELSE false END AS kept, kind = 0 AS stated, kind IN (0, 6) AS in_place FROM (SELECT page_id, html, page_id % 8 AS kind FROM pages)"""
+_NUMBERED = f"SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, {_TITLE} AS name, {_tidy('html')} AS text FROM pages"
+GET_BY_TITLE = f"""WITH t AS ({_NUMBERED}), q AS (SELECT DISTINCT lower(name) || '; ' AS query FROM t),
+ f AS (SELECT query, arg_min(idx, k * 1e12 + idx) AS idx FROM (SELECT query, idx, CASE WHEN query = name THEN 0 WHEN lower(query) = lower(name) THEN 1 ELSE 2 END AS k FROM q JOIN t ON {_norm("query")} = {_norm("name")} OR lower(query) = lower(name)) GROUP BY query)
+SELECT query, idx, sha256(text) AS text_sha256 FROM f JOIN t USING (idx)"""
 HEADERS = "SELECT page_id, 'HTTP/1.1 200 OK' AS status, 'text/html; charset=utf-8' AS content_type, page_id::VARCHAR AS x_page, octet_length(encode(html))::BIGINT AS body_bytes FROM pages"

@@ -119,7 +119,7 @@ def node_counts(spark, d):
     return n.groupBy("page_id").agg(*(F.count_if(F.col("op") == k).alias(f"n_{name}") for k, name in ((1, "open"), (2, "close"), (4, "doctype"), (5, "comment"), (6, "selfclose"), (7, "raw"))))
 
 
-@_query()
+@_query(S.NODE_DEPTH)
 def node_depth(spark, d):
     """The depth of every opening node: what opened before it and hasn't closed, never below 0."""
     step = F.when(F.col("op") == 1, 1).when(F.col("op") == 2, -1).otherwise(0)
@@ -136,7 +136,7 @@ def vocabulary_hits(spark, d):
     return used.join(tags, "tag", "left").select("tag", "n", F.col("id").isNotNull().alias("known"))
 
 
-@_query()
+@_query(S.HTML_ROUNDTRIP)
 def html_roundtrip(spark, d):
     return metrics.roundtrip(_pages(spark, d), "page_id")
 
@@ -172,11 +172,17 @@ def merkle_root(spark, d):
     return merkle.merkle_root(written(docs))
 
 
-@_query(S.verify_root("pages", "page_id", "html"))
+@_query(S.VERIFY_ROOT)
 def merkle_verify(spark, d):
-    docs = written(with_index(_pages(spark, d).select("page_id", merkle.doc_hash("html").alias("doc_sha256")), "page_id", name="pos"))
+    """A commitment held against the documents it was made of, and against them with one changed."""
+    pages = _pages(spark, d)
+    first = pages.agg(F.min("page_id").alias("_first"))
+    changed = pages.crossJoin(F.broadcast(first)).withColumn("html", F.when(F.col("page_id") == F.col("_first"), F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    hashed = lambda p: written(with_index(p.select("page_id", merkle.doc_hash("html").alias("doc_sha256")), "page_id", name="pos"))
+    docs = hashed(pages)
     commitment = written(merkle.merkle_root(docs))
-    return merkle.verify_root(commitment, docs)
+    cases = [merkle.verify_root(commitment, x).select(F.lit(name).alias("case"), "*") for name, x in (("intact", docs), ("tampered", hashed(changed)))]
+    return cases[0].union(cases[1])
 
 
 # chunks and archives
@@ -187,6 +193,12 @@ def chunk_plan(spark, d):
     return chunks.chunk_plan(_text_docs(spark, d)).select("doc_id", "doc_idx", "chunk_id")
 
 
+@_query(S.CHUNK_PLAN_BYTES)
+def chunk_plan_bytes(spark, d):
+    """Chunks that close at 32 KiB or 64 documents, so that both rules fire."""
+    return chunks.chunk_plan(_text_docs(spark, d), max_docs=64, max_bytes=1 << 15).select("doc_id", "doc_idx", "chunk_id")
+
+
 @_query(S.CHUNK_INDEX)
 def chunk_index(spark, d):
     return chunks.chunk_index(chunks.chunk_plan(_text_docs(spark, d)))
@@ -222,13 +234,27 @@ def archive_get(spark, d):
     return archive.read_archive(spark, path).where("doc_idx = 137").select("doc_idx", H.decode_text("encoded").alias("text"))
 
 
-@_query(S.ARCHIVE_CHUNKS)
+@_query(S.ARCHIVE_INFO)
 def archive_info(spark, d):
-    """Counts of an archive of pages, from its index alone."""
+    """Counts of an archive of pages, from the indexes of its files alone."""
+    pages = with_index(_pages(spark, d).select("page_id", T.encode_text("html").alias("encoded")), "page_id")
+    path = scratch(spark)
+    archive.write_archive(pages, path, shards=1, level=3, maxBytes=1 << 40)
+    i = archive.archive_info(spark, path)
+    outside = F.col("file_bytes") - F.col("chunk_bytes")  # header, index and footer
+    return i.select("docs", "chunks", "encoded_bytes", outside.alias("outside_bytes"), (F.col("chunk_bytes") < F.col("encoded_bytes")).alias("smaller"))
+
+
+@_query(S.GET_BY_TITLE)
+def get_by_title(spark, d):
+    """Documents of an archive by their titles, in lower case and with a trailing mark."""
     pages = with_index(_pages(spark, d).select("page_id", T.encode_text("html").alias("encoded")), "page_id")
     path = scratch(spark)
     archive.write_archive(pages, path, level=3)
-    return archive.archive_chunks(spark, path).agg(F.sum("doc_count").alias("docs"), F.sum("encoded_bytes").alias("encoded_bytes"))
+    titles = with_index(_titles(spark, d).select("page_id", "name", "shard"), "page_id", name="idx").withColumn("line_no", F.col("idx"))
+    found = catalog.lookup_titles(titles, titles.select(F.concat(F.lower("name"), F.lit("; ")).alias("query")))
+    docs = archive.read_archive(spark, path).select(F.col("doc_idx").alias("idx"), F.sha2(H.decode_text("encoded"), 256).alias("text_sha256"))
+    return found.join(docs, "idx").select("query", "idx", "text_sha256")
 
 
 @_query()
@@ -325,13 +351,33 @@ def warc_read(spark, d):
 
 @_query(S.WARC_RECODE)
 def warc_encode_decode(spark, d):
-    """HTML bodies encoded in place, then decoded; with what the text of the result is."""
+    """HTML bodies encoded in place, then decoded; with a hash of the letters of each result's text."""
     path = scratch(spark)
     warc.write_warc(_records(spark, d), path)
     once, twice = scratch(spark), scratch(spark)
     warc.write_warc(warc.encode_records(warc.read_warc(spark, path)), once)
     warc.write_warc(warc.decode_records(warc.read_warc(spark, once)), twice)
-    return warc.html_responses(warc.read_warc(spark, twice)).groupBy().agg(F.count("*").alias("responses"), F.countDistinct("url").alias("urls"))
+    text = H.extract_text(F.decode("body", "UTF-8"))
+    return warc.html_responses(warc.read_warc(spark, twice)).select("url", F.sha2(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", ""), 256).alias("letters_sha256"))
+
+
+@_query(S.HTML_RESPONSES)
+def html_response_filter(spark, d):
+    """The three filters of HTML responses on payloads of eight kinds: types given, absent, empty, in capitals, other, and encoded; a request."""
+    kind = (F.col("page_id") % 8).alias("kind")
+    nl = "\r\n"
+    head = F.element_at(F.array(*(F.lit(f"HTTP/1.1 200 OK{nl}{h}{nl}") for h in (
+        f"Content-Type: text/html; charset=utf-8{nl}", f"X-A: 1{nl}", f"Content-Type: {nl}", f"X-A: 1{nl}", f"Content-Type: application/json{nl}", f"Content-Type: TEXT/HTML{nl}",
+        f"Content-Type: {warc.ENCODED_TYPE}{nl}", f"Content-Type: text/html{nl}",
+    ))), (F.col("kind") + 1).cast("int"))
+    body = F.when(F.col("kind") == 3, F.concat(F.repeat(F.lit(" \n"), 300), F.upper("html"))).otherwise(F.col("html"))
+    r = _pages(spark, d).select("page_id", "html", kind).withColumn("payload", F.encode(F.concat(head, body), "UTF-8"))
+    warc_type = F.when(F.col("kind") == 7, "request").otherwise("response")
+    flagged = warc.record_flags(r.withColumn("warc_headers", F.create_map(F.lit("warc-type"), warc_type)))
+    http = warc.split_response("payload")
+    stated = F.col("is_response") & warc.says_html(http["headers"]["content-type"])
+    kept = warc.is_html_response(F.col("warc_headers")["warc-type"], http["headers"]["content-type"], http["body"])
+    return flagged.select("page_id", "kind", kept.alias("kept"), stated.alias("stated"), F.col("is_html").alias("in_place"))
 
 
 @_query(S.HEADERS)

@@ -16,7 +16,7 @@ from leafmill import cli
 from leafmill.functions import codec
 from leafmill.functions import html as H
 from leafmill.operators import catalog, chunks, merkle, metrics, select
-from leafmill.sources import archive, folders, warc
+from leafmill.sources import archive, files, folders, warc
 from leafmill.sources.files import Ranges
 from leafmill.streaming import ingest
 
@@ -121,7 +121,10 @@ class _Handler(http.server.BaseHTTPRequestHandler):
             type(self).failures -= 1
             self.send_error(503)
             return
-        data = self.files[self.path.partition("?")[0]]
+        data = self.files.get(self.path.partition("?")[0])
+        if data is None:
+            self.send_error(404)
+            return
         m = re.match(r"bytes=(\d*)-(\d*)", self.headers.get("Range", ""))
         if m:
             a = int(m[1]) if m[1] else max(0, len(data) - int(m[2]))
@@ -136,6 +139,10 @@ class _Handler(http.server.BaseHTTPRequestHandler):
         self.end_headers()
         self.wfile.write(data)
 
+    def do_POST(self):
+        self.rfile.read(int(self.headers.get("Content-Length", 0)))
+        self.do_GET()
+
     def log_message(self, *_):
         pass
 
@@ -158,13 +165,65 @@ def test_remote_archives_by_ranges(spark, kept, server):
     assert archive.read_archive(spark, f"{server}/a.leaves").count() == want
 
 
-def test_session_frames(server):
-    _Handler.files = {"/sessions/s/pull": b"".join(struct.pack(">I", len(d)) + d for d in (b"one", b""))}
-    assert ingest.pull(server, "s", 0, 256) == ([b"one", b""], 2)
+def test_info_of_an_address(spark, kept, server):
+    shard = archive.shards_of(kept)[0]
+    _Handler.files = {"/a.leaves": open(shard, "rb").read()}
+    far, near = (archive.archive_info(spark, p).first() for p in (f"{server}/a.leaves", shard))
+    assert far == near and far.file_bytes == os.path.getsize(shard) and far.chunk_bytes == far.file_bytes - 9 - 16 - 14 * far.chunks
+
+
+@pytest.mark.parametrize("size", ["1", "3000", "100000000"])
+def test_partitions_are_runs_of_chunks(spark, docs, tmp_path, size):
+    path = str(tmp_path)
+    archive.write_archive(docs, path, shards=2, level=3, maxDocs=50)
+    df = archive.read_archive(spark, path, partitionBytes=size)
+    chunks_ = archive.archive_chunks(spark, path).count()
+    assert df.rdd.getNumPartitions() == {"1": chunks_, "100000000": 2}.get(size, df.rdd.getNumPartitions()) <= chunks_
+    assert [r.doc_idx for r in df.orderBy("doc_idx").collect()] == list(range(600))
+    assert [r.doc_idx for r in df.where("doc_idx in (7, 420)").orderBy("doc_idx").collect()] == [7, 420]
+    os.unlink(os.path.join(path, archive.MANIFEST))
+    assert archive.read_archive(spark, path, partitionBytes=size).count() == 600
+
+
+def test_files_by_way_of_file_systems(tmp_path):
+    place = f"file://{tmp_path}/a/b.bin"
+    files.replace(place, b"one")
+    assert files.read_all(place) == b"one" and files.exists(place) and files.names(f"file://{tmp_path}/a") == ["b.bin"]
+    files.move(place, files.join(f"file://{tmp_path}", "c.bin"))
+    assert files.names(str(tmp_path)) == ["c.bin"] and not files.exists(place) and files.names(f"{tmp_path}/none") == []
+    files.remove(f"{tmp_path}/c.bin")
+    assert not files.exists(f"{tmp_path}/c.bin")
+
+
+def test_sessions(server):
+    framed = b"".join(struct.pack(">I", len(d)) + d for d in (b"one", b""))
+    _Handler.files = {"/corpus/c/receipt/open": b'{"session_id": "s", "total": 2}', "/corpus/c/receipt/pull": framed, "/corpus/c/receipt/finalize": b'{"doc_count": 2}', "/corpus/c/commitment.json": b'{"ts": 1}'}
+    assert ingest.pull(server, "c", "s", 0, 256) == ([b"one", b""], 2, False)
+    for limit in (0, 2):
+        assert list(ingest.session_documents(server, "c", limit=limit)) == [b"one", b"", ("commitment", {"doc_count": 2})]
+    assert ingest.fetch_commitment(server, "c") == ({"ts": 1}, None)
     with pytest.raises(ValueError):
         ingest.frames(b"\0\0\0\5abc")
 
 
+def test_documents_of_a_corpus(spark, docs, tmp_path, capsys):
+    base = str(tmp_path / "base")
+    archive.write_archive(docs, base, shards=2, level=3)
+    shards = [os.path.basename(s) for s in archive.shards_of(base)]
+    counts = [archive.read_archive(spark, os.path.join(base, s)).count() for s in shards]
+    with gzip.open(os.path.join(base, "t.tsv.gz"), "wt") as f:
+        f.writelines(f"T{i}\t{int(i >= counts[0])}\t{i - counts[0] * (i >= counts[0])}\n" for i in range(600))
+    registry = {"c": {"base": base, "shards": shards, "shard_docs": counts, "titles": "t.tsv.gz"}}
+    (tmp_path / "r.json").write_text(json.dumps(registry))
+    ask = lambda ref: catalog.resolve(spark, registry, "c", ref, str(tmp_path / "kept"))
+    assert ask("t599/") == (os.path.join(base, shards[1]), 599 - counts[0]) and ask(str(counts[0])) == (os.path.join(base, shards[1]), 0)
+    with pytest.raises(IndexError):
+        ask("none")
+    run = lambda *a: cli.main(["get", "c", *a, "--text", "--registry", str(tmp_path / "r.json"), "--kept", str(tmp_path / "kept")], spark)
+    assert run("T7") == 0 and "page 7 " in capsys.readouterr().out
+    assert run("none") == 1
+
+
 def test_folders(spark, tmp_path):
     for name in ("b.html", "a/z.html", "a/x.HTML", "a/n.txt"):
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
@@ -195,20 +254,21 @@ def test_warc(spark, tmp_path):
         _record(b"response", b"http://a/", http_ + page), _record(b"request", b"http://a/", b"GET /"), _record(b"response", b"http://b/", b"HTTP/1.1 200 OK\n\n <!doctype html>"),
         _record(b"response", b"http://c/", b"HTTP/1.1 200 OK\r\nContent-Type: TEXT/HTML\r\n\r\n<p>"), _record(b"Response", b"http://d/", http_, b"\r\n"), _record(b"response", b"http://e/", b"<h1>", b"\n"),
         _record(b"response", b"http://f/", b"", length=b"x"),
+        _record(b"response", b"http://g/", b"HTTP/1.1 200 OK\r\nContent-Type: \r\n\r\n" + b" " * 600 + b"<HTML>"),
     ]
     (tmp_path / "a.warc").write_bytes(b"".join(raw))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in raw))
     for name in ("a.warc", "b.warc.gz"):
         df = warc.read_warc(spark, str(tmp_path / name))
-        assert df.count() == 7
-        assert sorted((r.url, bytes(r.body)) for r in warc.html_responses(df).collect()) == [("http://a/", page), ("http://b/", b" <!doctype html>"), ("http://e/", b"<h1>")]
+        assert df.count() == 8
+        assert sorted((r.url, bytes(r.body)) for r in warc.html_responses(df).collect()) == [("http://a/", page), ("http://b/", b" <!doctype html>"), ("http://e/", b"<h1>"), ("http://g/", b" " * 600 + b"<HTML>")]
         h = df.where("record_no = 0").select(warc.split_response("payload").alias("r")).first().r
         assert (h.status, h.headers) == ("HTTP/1.1 200 OK", {"x": "2", "content-type": "text/html"})
     once = warc.encode_records(df)
-    assert tuple(warc.record_counts(once).first()) == (1, 6)
+    assert tuple(warc.record_counts(once).first()) == (1, 7)
     warc.write_warc(once, str(tmp_path / "once"))
     back = warc.decode_records(warc.read_warc(spark, str(tmp_path / "once")))
-    assert tuple(warc.record_counts(back).first()) == (1, 6)
+    assert tuple(warc.record_counts(back).first()) == (1, 7)
     warc.write_warc(back, str(tmp_path / "twice"), compress=False)
     bodies = {r.url: bytes(r.body).decode() for r in warc.html_responses(warc.read_warc(spark, str(tmp_path / "twice"))).collect()}
     assert bodies["http://a/"] == C.decode(C.encode(page)) and bodies["http://e/"] == "<h1>"
@@ -337,7 +397,7 @@ def test_stream_into_an_archive(spark, tmp_path):
         ingest.append_to_archive(ingest.stream_pages(spark, source), target, str(tmp_path / "check"), level=1).trigger(availableNow=True).start().awaitTermination()
     got = archive.read_archive(spark, target).orderBy("doc_idx").select(H.decode_text("encoded")).collect()
     assert [r[0] for r in got] == ["0", "1", "2", "10", "11", "12"]
-    assert json.load(open(os.path.join(target, "_batches.json"))) == [0, 1]
+    assert archive.batches_of(target) == {0, 1}
 
 
 def test_commands(spark, tmp_path, capsys):
