@@ -61,16 +61,76 @@ class _Parser(HTMLParser):
         self.found.append((COMMENT, None, [], data))
 
 
-def parse(html) -> list[tuple]:
-    """Nodes of a page: no tree repair, white-space-only text dropped unless it is a space within a line."""
+def parse(html, close: bool = False) -> list[tuple]:
+    """Nodes of a page: no tree repair, white-space-only text dropped unless it is a space within a line.
+
+    Text behind the last tag that might go on, such as ``AT&T`` or ``x&amp`` at the
+    very end, is only told apart by ``close``; without it, it is lost.
+    """
     found: list[tuple] = []
-    _Parser(found).feed(to_text(html))
+    p = _Parser(found)
+    p.feed(to_text(html))
+    if close:
+        p.close()
+    return found
+
+
+def parse_repaired(html) -> list[tuple]:
+    """Nodes of a page after tree repair by lxml, where that library is there: what it can't parse is parsed plainly."""
+    from lxml import etree
+    from lxml import html as tree
+
+    text = to_text(html)
+    root = None
+    for given in (text, text.encode("utf-8", "replace")):  # text with an encoding declaration is taken as bytes only
+        try:
+            root = tree.document_fromstring(given)
+            break
+        except (etree.ParserError, ValueError):
+            continue
+    if root is None:
+        return parse(text)
+    doctype = re.match(r"\s*<!(doctype[^>]*)>", text, re.I)
+    found: list[tuple] = [(DOCTYPE, None, [], doctype[1])] if doctype else []
+
+    def data(value: str | None, raw: bool) -> None:
+        if value and not value.isspace():
+            found.append((RAWTEXT if raw else TEXT, None, [], value))
+        elif value and " " in value and "\n" not in value:
+            found.append((TEXT, None, [], " "))
+
+    stack: list[tuple] = [(root, False)]  # without recursion, as pages nest deeply
+    while stack:
+        node, leaving = stack.pop()
+        tag = node.tag.rpartition("}")[2].lower() if isinstance(node.tag, str) else None
+        if leaving:
+            if tag and tag not in VOID:
+                found.append((CLOSE, tag, [], None))
+            if node is not root:
+                data(node.tail, False)
+            continue
+        stack.append((node, True))
+        if tag:
+            found.append((SELFCLOSE if tag in VOID else OPEN, tag, [(k.rpartition("}")[2].lower(), v) for k, v in node.attrib.items()], None))
+            data(node.text, tag in RAW)
+            stack.extend((child, False) for child in reversed(node))
+        elif node.tag is etree.Comment:
+            found.append((COMMENT, None, [], node.text or ""))
     return found
 
 
+def parser(name: str = "plain"):
+    """A way to parse: plain, closed, repaired, or auto, which repairs where the library is there."""
+    if name == "auto":
+        from importlib.util import find_spec
+
+        name = "repaired" if find_spec("lxml") else "plain"
+    return {"plain": parse, "closed": lambda html: parse(html, True), "repaired": parse_repaired}[name]
+
+
 class Codec:
-    def __init__(self, vocabulary: Vocabulary = DEFAULT):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary = DEFAULT, tokenizer: str = "plain"):
+        self.vocabulary, self.tokenizer = vocabulary, tokenizer
         self.tag_ids, self.attr_ids, self.string_ids = ({t: i for i, t in enumerate(names)} for names in vocabulary)
 
     # strings
@@ -158,7 +218,7 @@ class Codec:
         return struct.pack(">I", len(shape)) + bytes(shape) + bytes(content)
 
     def encode(self, html) -> bytes:
-        return self.encode_nodes(parse(html))
+        return self.encode_nodes(parser(self.tokenizer)(html))
 
     def encode_text(self, text) -> bytes:
         return self.encode_nodes([(TEXT, None, [], to_text(text))])
@@ -209,8 +269,8 @@ class Codec:
     def decode(self, blob: bytes, strict: bool = False) -> str:
         return render(self.nodes(blob, strict))
 
-    def text(self, blob: bytes) -> str:
-        return nodes_text(self.nodes(blob))
+    def text(self, blob: bytes, strict: bool = False) -> str:
+        return nodes_text(self.nodes(blob, strict))
 
 
 def escape_text(s: str) -> str:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import gzip
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from . import text as T
 from .vocabulary import DEFAULT, Vocabulary
 
 NODE_DDL = "seq int, op tinyint, tag string, attrs array<struct<name:string,value:string>>, payload string"
+_NODE_NAMES = ("seq", "op", "tag", "attrs", "payload")
+#: Pages whose nodes make a batch.
+PAGES = 256
 
 
 def _mapped(f, kind: str):
@@ -41,14 +46,13 @@ def _lenient(f, strict: bool):
     return run
 
 
-def extract_text(html, repair: bool = False) -> Column:
-    """Readable text of HTML."""
-    return _mapped(lambda v: codec.nodes_text(codec.parse(v), repair), "string")(html)
+def extract_text(html, repair: bool = False, tokenizer: str = "plain") -> Column:
+    """Readable text of HTML; for tokenizers see ``codec.parser``."""
+    return _mapped(lambda v: codec.nodes_text(codec.parser(tokenizer)(v), repair), "string")(html)
 
 
-
-def encode_html(html, vocabulary: Vocabulary = DEFAULT, strict: bool = False) -> Column:
-    c = codec.Codec(vocabulary)
+def encode_html(html, vocabulary: Vocabulary = DEFAULT, strict: bool = False, tokenizer: str = "plain") -> Column:
+    c = codec.Codec(vocabulary, tokenizer)
     return _mapped(_lenient(c.encode, strict), "binary")(html)
 
 
@@ -60,7 +64,7 @@ def decode_html(encoded, vocabulary: Vocabulary = DEFAULT, strict: bool = False)
 def decode_text(encoded, vocabulary: Vocabulary = DEFAULT, strict: bool = False) -> Column:
     """Readable text of an encoded page or text, without making HTML of it."""
     c = codec.Codec(vocabulary)
-    return _mapped(_lenient(c.text, strict), "string")(encoded)
+    return _mapped(_lenient(lambda v: c.text(v, strict), strict), "string")(encoded)
 
 
 def gzip_size(data, level: int = 9) -> Column:
@@ -100,19 +104,44 @@ def zstd_decompress(data, dictionary: bytes | None = None) -> Column:
     return F.pandas_udf(run, "binary")(data)
 
 
-def html_nodes(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
+_ATTRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+
+
+def _node_arrays(pages: pa.Array, tokenizer: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """For each node the number of its page; and the columns of ``NODE_DDL``."""
+    parse = codec.parser(tokenizer)
+    rows, seq, ops, tags, payloads, ends, names, values = [], [], [], [], [], [0], [], []
+    for i, v in enumerate(pages.to_pylist()):
+        found = parse(v) if v is not None else []
+        rows.append(len(found))
+        seq.append(np.arange(len(found), dtype=np.int32))
+        for op, tag, attrs, payload in found:
+            ops.append(op)
+            tags.append(tag)
+            payloads.append(payload)
+            for name, value in attrs:
+                names.append(name)
+                values.append(value)
+            ends.append(len(names))
+    attrs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"]))
+    cols = [pa.array(np.concatenate(seq) if seq else [], pa.int32()), pa.array(ops, pa.int8()), pa.array(tags, pa.string()), attrs.cast(_ATTRS), pa.array(payloads, pa.string())]
+    return np.repeat(np.arange(len(rows)), rows), cols
+
+
+def html_nodes(pages: DataFrame, *keys: str, html: str = "html", tokenizer: str = "plain") -> DataFrame:
     """``keys, seq, op, tag, attrs, payload``: a row for each node of each page."""
     kept = pages.select(*keys, F.col(html).alias("_html"))
 
-    def run(col: pd.Series) -> pd.Series:
-        out = []
-        for v in col:
-            found = codec.parse(v) if v is not None else []
-            out.append([{"seq": i, "op": op, "tag": tag, "attrs": [{"name": k, "value": x} for k, x in attrs], "payload": p} for i, (op, tag, attrs, p) in enumerate(found)])
-        return pd.Series(out)
-
-    nodes = F.pandas_udf(run, f"array<struct<{NODE_DDL.replace(' array<', ':array<').replace('seq int', 'seq:int').replace('op tinyint', 'op:tinyint').replace('tag string', 'tag:string').replace('payload string', 'payload:string')}>>")
-    return kept.select(*keys, F.inline(nodes("_html")))
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                row, cols = _node_arrays(part.column(part.num_columns - 1), tokenizer)
+                mine = part.select(list(range(len(keys)))).take(pa.array(row))
+                yield pa.record_batch([*mine.columns, *cols], [*keys, *_NODE_NAMES])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_html")
+    return kept.mapInArrow(run, f"{ddl}, {NODE_DDL}")
 
 
 def extract_cascade(html, *extractors) -> Column:

@@ -139,3 +139,23 @@ def test_learned_vocabulary(spark):
     v = vocabulary.learn(H.html_nodes(pages, "html").select("attrs"), 2)
     assert v.strings == ("/same/long/path", "often") or set(v.strings) <= {"/same/long/path", "often", "rare1"}
     json.dumps(v.rows())
+
+
+@pytest.mark.parametrize("html,text", [("<p>AT&T", "AT&T"), ("<p>x&amp", "x&"), ("<p>a<b", "a"), ("", "")])
+def test_closing_keeps_text_at_the_end(html, text):
+    assert codec.nodes_text(codec.parser("closed")(html)).startswith(text)
+    assert codec.parser("plain")(html) == codec.parse(html)
+
+
+def test_repaired_trees():
+    pytest.importorskip("lxml")
+    nodes = codec.parser("repaired")("<!DOCTYPE html><p>one<p>two<br>three<!-- c --><script>1 < 2</script>")
+    assert [n[1] for n in nodes if n[0] == codec.OPEN] == ["html", "body", "p", "p", "script"] and nodes[0] == (codec.DOCTYPE, None, [], "DOCTYPE html")
+    assert sum(n[0] == codec.CLOSE for n in nodes) == 5 and codec.nodes_text(nodes) == "one\ntwo\nthree"
+
+
+def test_strict_text():
+    c = codec.Codec()
+    blob = c.encode("<p>hello</p>")
+    with pytest.raises(codec.CorruptDocument):
+        c.text(blob[:4] + bytes([99]) + blob[5:], strict=True)
