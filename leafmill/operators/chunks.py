@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 MAX_DOCS, MAX_BYTES = 256, 2 << 20
-#: Documents that are folded as one.
-BLOCK = 1 << 16
+#: Documents that are folded as one, and blocks whose summaries are composed as one.
+BLOCK, GROUP = 1 << 16, 1 << 10
 HEADER_BYTES, CHUNK_BYTES, SIZE_BYTES = 9, 10, 4
 
 
@@ -30,17 +32,18 @@ def _greedy(max_docs: int, max_bytes: int):
     return run
 
 
-def chunk_plan(docs: DataFrame, order: str = "doc_idx", size: str = "encoded_bytes", shard: str | None = None, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, block: int = BLOCK) -> DataFrame:
+def chunk_plan(docs: DataFrame, order: str = "doc_idx", size: str = "encoded_bytes", shard: str | None = None, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """``docs`` with ``chunk_id``: a chunk closes at ``max_docs`` documents or ``max_bytes`` bytes.
 
     With a shard column, chunks are counted within each shard, and a shard is the
     unit of parallel work. Without one, ``order`` must count 0, 1, 2, ..., and blocks
     of it are folded in parallel: where a chunk may start among the first
     ``max_docs`` documents of a block decides where one starts in the next, so a
-    block is summed up by ``max_docs`` numbers and the summaries are chained.
+    block is summed up by ``max_docs`` numbers; the summaries of ``group`` blocks are
+    composed into one, these are chained, and each group is then unrolled for itself.
     """
     if shard is None:
-        return _blocked_plan(docs, order, size, max_docs, max_bytes, max(block, max_docs))
+        return _blocked_plan(docs, order, size, max_docs, max_bytes, max(block, max_docs), group)
     ready = docs.withColumns({"_shard": F.col(shard).cast("string"), "_bytes": F.col(size).cast("long")})
     ready = ready.repartition(F.col("_shard")).sortWithinPartitions("_shard", order)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema) + ", chunk_id bigint"
@@ -76,7 +79,7 @@ def _by_block(f):
     return run
 
 
-def _blocked_plan(docs: DataFrame, order: str, size: str, max_docs: int, max_bytes: int, block: int) -> DataFrame:
+def _blocked_plan(docs: DataFrame, order: str, size: str, max_docs: int, max_bytes: int, block: int, group: int) -> DataFrame:
     at = F.col(order).cast("long")
     b = F.floor(at / block).cast("long")
     # the first documents of a block are also seen by the one before, whose last chunk may reach them
@@ -96,19 +99,32 @@ def _blocked_plan(docs: DataFrame, order: str, size: str, max_docs: int, max_byt
         k = min(max_docs, inside)
         return pa.record_batch([pa.array([no]), pa.array([out[:k].tolist()]), pa.array([count[:k].tolist()])], ["_block", "out", "count"])
 
+    def compose(t: pa.Table) -> pa.RecordBatch:
+        enter, total = np.arange(max_docs), np.zeros(max_docs, np.int64)
+        for out, count in zip(t["out"], t["count"]):
+            o, n = out.values.to_numpy(), count.values.to_numpy()
+            inside, at = enter < len(o), np.minimum(enter, len(o) - 1)  # a last block may be shorter than the chunk that reaches it
+            enter, total = np.where(inside, o[at], enter - len(o)), total + np.where(inside, n[at], 0)
+        return pa.record_batch([t["_group"].combine_chunks()[:1], pa.array([enter.tolist()]), pa.array([total.tolist()])], ["_group", "out", "count"])
+
+    def follow(rows, enter: int, chunk: int):
+        for no, out, count in rows:
+            yield no, enter, chunk
+            if enter < len(out):
+                enter, chunk = out[enter].as_py(), chunk + count[enter].as_py()
+            else:
+                enter -= len(out)
+
     def chain(batches):
-        enter, chunk = 0, 0
-        for batch in batches:
-            rows = []
-            for no, out, count in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if enter >= len(out):  # a last block shorter than the chunk that reaches it
-                    rows.append((no, enter, chunk))
-                    enter = enter - len(out)
-                    continue
-                rows.append((no, enter, chunk))
-                enter, chunk = out[enter], chunk + count[enter]
-            if rows:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], ["_block", "_enter", "_chunk"])
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), *((v.values for v in batch.column(i)) for i in (1, 2))))
+        found = list(follow(rows, 0, 0))  # a row for each group
+        if found:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["_group", "_enter", "_chunk"])
+
+    def unroll(t: pa.Table) -> pa.RecordBatch:
+        rows = zip(t["_block"].to_pylist(), (v.values for v in t["out"]), (v.values for v in t["count"]))
+        found = follow(rows, t["_enter"][0].as_py(), t["_chunk"][0].as_py())
+        return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["_block", "_enter", "_chunk"])
 
     def assign(t: pa.Table) -> pa.RecordBatch:
         n, enter, chunk = t.num_rows, t["_enter"][0].as_py(), t["_chunk"][0].as_py()
@@ -123,7 +139,12 @@ def _blocked_plan(docs: DataFrame, order: str, size: str, max_docs: int, max_byt
         return pa.record_batch([pa.array(at[inside]), pa.array(ids[inside])], ["_at", "chunk_id"])
 
     sums = seen.mapInArrow(_by_block(summary), "_block bigint, out array<bigint>, count array<bigint>")
-    chained = sums.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, "_block bigint, _enter bigint, _chunk bigint")
+    sums = written(sums.select(F.floor(F.col("_block") / group).cast("long").alias("_group"), "_block", "out", "count"))
+    by_group = lambda df: df.repartition(F.col("_group")).sortWithinPartitions("_group", "_block")
+    groups = by_group(sums).mapInArrow(_by_block(compose), "_group bigint, out array<bigint>, count array<bigint>")
+    heads = groups.repartition(1).sortWithinPartitions("_group").mapInArrow(chain, "_group bigint, _enter bigint, _chunk bigint")
+    met = by_group(sums.join(heads, "_group").select("_group", "_block", "out", "count", "_enter", "_chunk"))
+    chained = met.mapInArrow(_by_block(unroll), "_block bigint, _enter bigint, _chunk bigint")
     entered = seen.join(chained, "_block").select("_block", "_at", "_bytes", "_enter", "_chunk").repartition(F.col("_block")).sortWithinPartitions("_block", "_at")
     ids = entered.mapInArrow(_by_block(assign), "_at bigint, chunk_id bigint")
     return docs.withColumn("_at", at).join(ids, "_at").drop("_at")

@@ -6,13 +6,17 @@ last node of an odd level is its own partner; no documents give ``sha256('')``.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import os
 import zipfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import replace
+
 #: Leaves of an aligned block that one group folds, as a power of two.
 FOLD = 10
 
@@ -100,6 +104,17 @@ def write_bundle(path: str, commitment: dict, stream: bytes | None = None, proof
                 z.writestr(_PARTS[part], data)
 
 
+def save_receipt(receipt: dict, path: str) -> tuple[str, str | None]:
+    """Writes a receipt as JSON and its time proof, where it holds one in base 64, beside it; the two paths."""
+    replace(path, json.dumps(receipt, indent=1, sort_keys=True).encode())
+    proof = receipt.get("ots_receipt_b64")
+    if not proof:
+        return path, None
+    beside = os.path.splitext(path)[0] + ".ots"
+    replace(beside, base64.b64decode(proof))
+    return path, beside
+
+
 def verify_bundle(path: str) -> dict:
     """State of the signature and of the time proof: VALID, INVALID or SKIPPED where the library or part isn't there."""
     with zipfile.ZipFile(path) as z:

@@ -310,6 +310,8 @@ def test_chunk_plan_is_a_greedy_fold(spark, n, docs_, bytes_, block):
         if d >= docs_ or b >= bytes_:
             chunk, d, b = chunk + 1, 0, 0
     assert [r.chunk_id for r in chunks.chunk_plan(df, max_docs=docs_, max_bytes=bytes_, block=block).orderBy("doc_idx").collect()] == expected
+    if n:
+        assert [r.chunk_id for r in chunks.chunk_plan(df, max_docs=docs_, max_bytes=bytes_, block=block, group=3).orderBy("doc_idx").collect()] == expected
     one = chunks.chunk_plan(df.withColumn("s", F.lit("x")), shard="s", max_docs=docs_, max_bytes=bytes_)
     assert [r.chunk_id for r in one.orderBy("doc_idx").collect()] == expected
 
@@ -342,6 +344,12 @@ def test_bundles(tmp_path):
     assert merkle.canonical_json(got["commitment"]) == b'{"corpus":"c","doc_count":1,"merkle_root_hex":"00","ts":1}'
 
 
+def test_receipts(tmp_path):
+    path = str(tmp_path / "r.json")
+    assert merkle.save_receipt({"b": 1, "a": 2}, path) == (path, None) and json.load(open(path)) == {"a": 2, "b": 1}
+    assert merkle.save_receipt({"ots_receipt_b64": "AAE="}, path)[1] == str(tmp_path / "r.ots") and (tmp_path / "r.ots").read_bytes() == b"\0\1"
+
+
 def test_catalogue(spark, tmp_path):
     lines = "Alpha\t0\t3\nalpha\t0\t4\na\tb\t1\t5\nBeta;\t0\t6\nbeta\t0\t7\nbroken\n"
     with gzip.open(tmp_path / "t.tsv.gz", "wt") as f:
