@@ -57,10 +57,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, parts: int, *cols: str) -> DataFrame:
-    """As ``materialize``, a row for each value of ``cols``, in ``parts`` buckets, so that a join on them doesn't shuffle the rows again."""
+def bucketed(df: DataFrame, parts: int, *cols: str, unique: bool = True) -> DataFrame:
+    """As ``materialize``, a row for each value of ``cols`` (all rows unless ``unique``), in ``parts`` buckets, so that a join on them doesn't shuffle the rows again."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(parts, *cols).dropDuplicates([*cols]).write.option("path", scratch(spark)).bucketBy(parts, *cols).format("parquet").saveAsTable(name)
+    df = df.repartition(parts, *cols)
+    (df.dropDuplicates([*cols]) if unique else df).write.option("path", scratch(spark)).bucketBy(parts, *cols).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved here; the name isn't needed from now on, and the files of an outside table stay
     spark.sql(f"drop table {name}")

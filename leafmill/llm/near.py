@@ -35,8 +35,12 @@ from . import common as C
 
 TOKENS, GRAM, SIMILAR, RECALL, BRANCH, SMALL, LEVELS = 128, 3, 0.55, 0.98, 2, 256, 5
 SURE, DOUBT = 4.0, 3.0
-#: Documents in doubt whose keys are broadcast; more are joined by a shuffle.
+#: Documents in doubt whose keys are broadcast (each with one block; fewer if with more); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of sets of grams, and of proposals, in a slot.
+BLOCK_BYTES = 16 << 20
+#: Signatures that a task knows to be given out already.
+SEEN = 200_000
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _MUL = (_rng.integers(0, 1 << 32, TOKENS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -83,25 +87,64 @@ def trees_for(similar: float, recall: float = RECALL) -> int:
     return 1 if meet >= 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - meet))))
 
 
+def _names(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of tokens."""
+    return C.mix(C.mix(sig.astype(np.uint64) + (np.arange(1, TOKENS + 1, dtype=np.uint64) << np.uint64(32))).sum(axis=1)).view(np.int64)
+
+
+def _bytes(rows: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column that is null where they aren't ``there``."""
+    own = np.ascontiguousarray(rows[there])
+    raw = pa.Array.from_buffers(pa.binary(rows.shape[1]), len(own), [None, pa.py_buffer(own)]).cast(pa.binary())
+    return raw.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+
 def _sign(batches):
+    """Tokens are given, as their low bytes and the others, the first time a task meets them."""
+    seen: set[int] = set()
     for batch in batches:
         for s in C.slices(batch):
             rows, sig = signatures(s.buf, s.offs)
             if len(rows):
-                take = s.rows.take(pa.array(rows))
-                raw = pa.Array.from_buffers(pa.binary(TOKENS * 4), len(rows), [None, pa.py_buffer(np.ascontiguousarray(sig))])
-                yield pa.record_batch([take.column("_k"), take.column("_j"), take.column("doc_id"), raw.cast(pa.binary())], ["_k", "_j", "doc_id", "sig"])
+                take, g = s.rows.take(pa.array(rows)), _names(sig)
+                if len(seen) > SEEN:
+                    seen.clear()
+                fresh = np.fromiter((x not in seen and not seen.add(x) for x in g.tolist()), bool, len(g))
+                parts = np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), TOKENS, 4)
+                low, high = _bytes(parts[:, :, 0], fresh), _bytes(parts[:, :, 1:].reshape(len(sig), -1), fresh)
+                yield pa.record_batch([take.column("_k"), take.column("_j"), take.column("doc_id"), pa.array(g), pa.array(np.diff(s.offs)[rows]), low, high], ["_k", "_j", "doc_id", "g", "size", "low", "high"])
 
 
 def _sets(batches):
-    """``g, grams``: the distinct grams of each row."""
+    """``g, blocks, grams``: the distinct grams of each row, once in a task for each ``g``."""
+    seen: set[int] = set()
     for batch in batches:
-        for s in C.slices(batch):
+        fresh = [x not in seen and not seen.add(x) for x in batch.column("g").to_pylist()]
+        for s in C.slices(batch.filter(pa.array(fresh, pa.bool_()))):
             rows, x, first = grams(s.buf, s.offs)
             ends = np.r_[first, len(x)].astype(np.int64)
             parts = [np.unique(x[a:b]).view(np.int64) for a, b in zip(ends, ends[1:])]
             if parts:
-                yield pa.record_batch([s.rows.column("g").take(pa.array(rows)), C.list_column(np.concatenate(parts), np.array([len(p) for p in parts]), pa.int64())], ["g", "grams"])
+                take = s.rows.take(pa.array(rows))
+                yield pa.record_batch([take.column("g"), take.column("blocks"), C.list_column(np.concatenate(parts), np.array([len(p) for p in parts]), pa.int64())], ["g", "blocks", "grams"])
+
+
+def _alike(similar: float):
+    """Of the pairs ``u, v`` of a block those that have the similarity by the sets of that block."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        of = {}
+        for g, grams in ((c.column("g"), c.column("grams")) for c in sets.to_batches()):
+            ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)  # in whose order they are sorted
+            of.update((x, flat[a:b]) for x, a, b in zip(g.to_pylist(), ends, ends[1:]))
+        good = np.zeros(pairs.num_rows, bool)
+        for i, (u, v) in enumerate(zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist())):
+            a, b = sorted((of[u], of[v]), key=len)
+            both = int(np.count_nonzero(b[np.searchsorted(b, a).clip(max=len(b) - 1)] == a))
+            good[i] = both >= similar * (len(a) + len(b) - both)
+        return pairs.select(["u", "v"]).filter(pa.array(good))
+
+    return run
 
 
 def _matrix(col: pa.Array, kind) -> np.ndarray:
@@ -110,6 +153,13 @@ def _matrix(col: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(d, np.uint8)[o[0] : o[-1]].view(kind).reshape(len(col), -1)
 
 
+def _tokens(batch: pa.RecordBatch) -> np.ndarray:
+    parts = np.empty((batch.num_rows, TOKENS, 4), np.uint8)
+    parts[:, :, 0] = _matrix(batch.column("low"), np.uint8)
+    parts[:, :, 1:] = _matrix(batch.column("high"), np.uint8).reshape(-1, TOKENS, 3)
+    return parts.view(np.uint32)[:, :, 0]
+
+
 def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """For each row, the BRANCH children (path hashes) of its node that it goes to."""
     out = np.empty((len(node), BRANCH), np.uint64)
@@ -124,7 +174,9 @@ def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
 def _roots(trees: int):
     def run(batches):
         for batch in batches:
-            sig = _matrix(batch.column("sig"), np.uint32)
+            if not batch.num_rows:
+                continue
+            sig = _tokens(batch)
             g = batch.column("g").to_numpy()
             for t in range(trees):
                 kids = _children(np.full(len(sig), C.mix(np.array([t + 1], np.uint64))[0]), sig)
@@ -135,7 +187,9 @@ def _roots(trees: int):
 
 def _branch(batches):
     for batch in batches:
-        kids = _children(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("sig"), np.uint32))
+        if not batch.num_rows:
+            continue
+        kids = _children(batch.column("node").to_numpy().view(np.uint64), _tokens(batch))
         yield pa.record_batch([pa.array(kids.ravel().view(np.int64)), pa.array(np.repeat(batch.column("g").to_numpy(), BRANCH))], ["node", "g"])
 
 
@@ -285,23 +339,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _decided(doubts: DataFrame, signed: DataFrame, lower: DataFrame, similar: float) -> DataFrame:
-    """Of the proposed pairs ``u, v`` those whose sets of grams have the similarity."""
-    ends = doubts.select("u").union(doubts.select("v")).distinct().toDF("g")
-    wanted = C.materialize(signed.select("_k", "g").join(ends, "g").groupBy("g").agg(F.min("_k").alias("_k")))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = lower.select("_k", "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), "_k")
-    sets = texts.mapInArrow(_sets, "g long, grams array<long>").groupBy("g").agg(F.first("grams").alias("grams"))  # equal rows share a key
-    one, two = sets.toDF("u", "a"), sets.toDF("v", "b")
-    both = F.size(F.array_intersect("a", "b"))
-    return doubts.join(one, "u").join(two, "v").where(both >= F.lit(similar) * (F.size("a") + F.size("b") - both)).select("u", "v")
+    """Of the proposed pairs ``u, v`` those whose sets of grams have the similarity.
+
+    Documents that proposals connect are cut into slots of about ``BLOCK_BYTES``, and a set goes once to each
+    pair of slots in which its document has proposals, instead of once to each proposal.
+    """
+    parts = max(int(doubts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ends = doubts.select("u").union(doubts.select("v")).groupBy(F.col("u").alias("g")).agg(F.count("*").alias("n"))
+    ends = signed.select("_k", "g", "size").join(ends, "g").groupBy("g").agg(F.min("_k").alias("_k"), (4 * F.max("size") + 16 * F.max("n")).alias("bytes"))  # a gram takes two bytes of text or more
+    ends = C.materialize(ends.join(components(doubts), "g"))
+    slots = ends.groupBy("c").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("slots"))
+    ends = C.materialize(ends.join(slots, "c").select("g", "_k", "c", F.pmod(F.xxhash64("g"), "slots").alias("s")))
+    pairs = doubts.join(ends.select(F.col("g").alias("u"), F.col("s").alias("su"), "c"), "u").join(ends.select(F.col("g").alias("v"), F.col("s").alias("sv")), "v")
+    pairs = C.materialize(pairs.select("u", "v", F.xxhash64("c", F.least("su", "sv"), F.greatest("su", "sv")).alias("block")))
+    blocks = pairs.select(F.col("u").alias("g"), "block").union(pairs.select("v", "block")).groupBy("g").agg(F.collect_set("block").alias("blocks"))
+    wanted = C.materialize(ends.select("_k", "g").join(blocks, "g"))
+    few = wanted.agg(F.sum(F.size("blocks") + 1)).first()[0] or 0
+    texts = lower.select("_k", "text").join(F.broadcast(wanted) if few <= 2 * BROADCAST_ROWS else wanted.hint("merge"), "_k")
+    sets = texts.mapInArrow(_sets, "g long, blocks array<long>, grams array<long>").select("g", F.explode("blocks").alias("block"), "grams")
+    sets = sets.repartition(parts, "block").groupBy("block", "g").agg(F.first("grams").alias("grams"))  # equal rows share a key
+    return pairs.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(_alike(similar), "u long, v long")
 
 
 def _groups(docs: DataFrame, similar: float, trees: int | None) -> DataFrame:
     """``_k, _j, doc_id, keep`` (the struct of the one that stays) for members of groups of two or more documents."""
     spark = C.prepare(docs.sparkSession)
     lower = C.keyed(docs).withColumns({"_j": C.second("doc_id", "text"), "text": F.lower("text")})
-    signed = C.materialize(lower.mapInArrow(_sign, "_k long, _j long, doc_id long, sig binary").withColumn("g", F.xxhash64("sig")))
-    reps = C.materialize(signed.groupBy("g").agg(F.first("sig").alias("sig")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # in buckets of g, so that neither the joins nor the aggregate below write the tokens again
+    signed = C.bucketed(lower.mapInArrow(_sign, "_k long, _j long, doc_id long, g long, size long, low binary, high binary"), parts, "g", unique=False)
+    reps = signed.where("low is not null").groupBy("g").agg(F.first("low").alias("low"), F.first("high").alias("high"))
 
     def sized(rows):
         n = F.count("*").over(Window.partitionBy("node"))
@@ -316,13 +383,12 @@ def _groups(docs: DataFrame, similar: float, trees: int | None) -> DataFrame:
         if level == LEVELS - 1:
             leaves = leaves.union(big)
             break
-        at = sized(big.join(reps, "g").select("node", "g", "sig").mapInArrow(_branch, "node long, g long"))
+        at = sized(big.join(reps, "g").select("node", "g", "low", "high").mapInArrow(_branch, "node long, g long"))
         leaves = leaves.union(at.where(F.col("n") <= SMALL))
-    sketch = reps.mapInArrow(_sketch, "g long, sketch binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sketch = reps.select("g", F.col("low").alias("sketch"))
     met = leaves.select("node", "g").join(sketch, "g").repartition(parts, "node").sortWithinPartitions("node")
     edges = C.materialize(met.mapInArrow(_compare(*_bounds(similar)), "u long, v long, sure boolean"))
-    doubts = edges.where("not sure").select("u", "v").distinct()
+    doubts = C.materialize(edges.where("not sure").select("u", "v").distinct())
     comp = components(edges.where("sure").select("u", "v").union(_decided(doubts, signed, lower, similar)))
     owned = signed.select("_k", "_j", "doc_id", "g").distinct().join(comp, "g", "left").select("_k", "_j", "doc_id", F.coalesce("c", "g").alias("c"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_j")
@@ -330,13 +396,6 @@ def _groups(docs: DataFrame, similar: float, trees: int | None) -> DataFrame:
     return owned.join(keep, "c").select("_k", "_j", "doc_id", "keep")
 
 
-def _sketch(batches):
-    for batch in batches:
-        low = np.ascontiguousarray(_matrix(batch.column("sig"), np.uint32).astype(np.uint8))
-        raw = pa.Array.from_buffers(pa.binary(TOKENS), len(low), [None, pa.py_buffer(low)])
-        yield pa.record_batch([batch.column("g"), raw.cast(pa.binary())], ["g", "sketch"])
-
-
 def _gone(docs: DataFrame, similar: float, trees: int | None) -> DataFrame:
     return _groups(docs, similar, trees).where("_k <> keep._k or _j <> keep._j")
 

@@ -129,6 +129,38 @@ def test_clusters_larger_than_a_small_node(spark):
     assert all(a // 1000 == b // 1000 for a, b in got.items()) and len(texts) > len(got)
 
 
+def _shuffled(spark):
+    """Bytes that tasks have written for shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("block", [16 << 20, 40_000])
+def test_sets_go_to_blocks_and_not_to_each_proposal(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK_BYTES", block, raising=False)
+    base = prose(70_000, 400)
+    rows = [(i, _varied(71_000 + i, base, 0.055 + 0.0003 * i)) for i in range(120)]  # nearly all pairs are in doubt, few of them are links
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (_words(t) for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= near.SIMILAR * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of tables too large for it
+    try:
+        before = _shuffled(spark)
+        got = {x.doc_id: x.keep_id for x in near.near_duplicates(frame(spark, rows), trees=20).collect()}
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: c for i, c in enumerate(root) if c != i} and 10 < len(got) < 110
+    assert moved < (10 if block < 1 << 20 else 3) * 8 * sum(map(len, sets))
+
+
 def test_trees_follow_from_the_recall():
     assert near.trees_for(1.0) == 1 and near.trees_for(0.55, 0.5) < near.trees_for(0.55, 0.98) < near.trees_for(0.3, 0.98)
     low, high = near._bounds(near.SIMILAR)
