@@ -4,12 +4,15 @@ A text is its lines, and a line is a sequence of lower-case words, each observed
 as its 64-bit hash. The model has ``STATES`` latent states and an emission count
 for every word of the corpus and state, in a table that grows with the vocabulary
 and stays distributed. Texts are written once in shares of about ``SHARE`` words
-that hold their own list of distinct words. For each pass of Baum-Welch the counts
-of its words are joined to every share; the share adds up the expected counts of
-starts, moves and emissions, which are shuffled by word and summed, as fixed-point
-integers, so that the result doesn't depend on their order or on tasks that ran
-twice. The passes go over all texts. Only starts, moves and totals by state come
-to the driver. Before the first pass a word's emissions are drawn by its hash.
+that hold their own list of distinct words. The words of the corpus are cut by hash
+into parts, as many as there are ``PART`` words in the lists of all shares. In each
+pass of Baum-Welch a share adds up the expected counts of starts, moves and
+emissions and sends each part one packed block of the counts of its words; the part
+sums them, as fixed-point integers, so that the result doesn't depend on their order
+or on tasks that ran twice, and answers each share with one block of the sums of the
+same words, for the next pass. So Spark moves blocks, never a row a word. The passes
+go over all texts. Only starts, moves and totals by state come to the driver. Before
+the first pass a word's emissions are drawn by its hash.
 
 A word that the model hasn't met counts as ``SMOOTH`` in each state; the totals
 have room for one such word beside the known ones, which have ``SMOOTH`` added.
@@ -26,6 +29,7 @@ columns don't matter.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from typing import NamedTuple
 
@@ -38,8 +42,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STATES, PASSES, SMOOTH, SEED = 8, 4, 0.1, 20240607
-#: Words whose lines run side by side; words of a share; fixed-point units of a count.
-BLOCK, SHARE, UNIT = 1 << 20, 1 << 22, 1 << 16
+#: Words whose lines run side by side; words of a share; words that shares send to a part; fixed-point units of a count.
+BLOCK, SHARE, PART, UNIT = 1 << 17, 1 << 22, 1 << 19, 1 << 16
+#: What spreads hashes over the parts, also those folded into a few buckets, and its inverse.
+SPREAD = 0x9E3779B97F4A7C15
+GATHER = pow(SPREAD, -1, 1 << 64)
+#: What shares send to parts, and parts to shares; a row without a share is the part's own.
+SENT = "part int, share long, keys binary, units binary"
+SUMMED = f"{SENT}, n long, total array<long>"
 
 
 class Model(NamedTuple):
@@ -51,8 +61,22 @@ class Model(NamedTuple):
 class Trained(NamedTuple):
     start: np.ndarray
     moves: np.ndarray
-    counts: DataFrame  # h, s0, s1, ...: each word's expected emissions in fixed-point units
-    total: np.ndarray  # (states,), their sums with smoothing
+    total: np.ndarray  # (states,), the sums of all emissions with smoothing
+    parts: int
+    summed: DataFrame  # as SUMMED
+
+    @property
+    def counts(self) -> DataFrame:
+        """``h, s0, s1, ...``: each word's expected emissions in fixed-point units."""
+        names = [f"s{s}" for s in range(len(self.start))]
+
+        def run(batches):
+            for batch in batches:
+                for keys, units in zip(batch.column("keys"), batch.column("units")):
+                    h = _keys(keys.as_py()) * np.uint64(GATHER)
+                    yield pa.record_batch([h.view(np.int64), *_ints(units.as_py()).view(np.int64).reshape(len(names), -1)], ["h", *names])
+
+        return _table(self).mapInArrow(run, "h long, " + ", ".join(f"{s} long" for s in names))
 
 
 def initial(states: int = STATES, symbols: int = 1, seed: int = SEED) -> Model:
@@ -61,10 +85,13 @@ def initial(states: int = STATES, symbols: int = 1, seed: int = SEED) -> Model:
     return Model(np.full(states, 1 / states), a / a.sum(1, keepdims=True), e / e.sum(0))
 
 
-def drawn(vocab: np.ndarray, states: int = STATES, seed: int = SEED) -> np.ndarray:
+def drawn(vocab: np.ndarray, states: int = STATES, seed: int = SEED, kind=np.float64) -> np.ndarray:
     """The weights from which the emissions of words start, between 0.5 and 1.5, by their hashes."""
     salt = C.mix(np.arange(1, states + 1, dtype=np.uint64) + np.uint64(seed))
-    return 0.5 + (C.mix(vocab[:, None] ^ salt) >> np.uint64(11)) / float(1 << 53)
+    out = np.empty((len(vocab), states), kind)
+    for s in range(states):
+        out[:, s] = 0.5 + (C.mix(vocab ^ salt[s]) >> np.uint64(11)) / float(1 << 53)
+    return out
 
 
 def observe(buf: np.ndarray, offs: np.ndarray, symbols: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +170,7 @@ def expected(m: Model, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
     """Expected starts, moves and (symbol, state) emissions of lines."""
     k = len(m.start)
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(m.emit), k))
-    table, trans = m.emit.astype(np.float32), m.moves.astype(np.float32)
+    table, trans = m.emit.astype(np.float32, copy=False), m.moves.astype(np.float32)
     back = np.ascontiguousarray(trans.T)
     for a, b in _blocks(size):
         first, last = int(size[:a].sum()), int(size[:b].sum())
@@ -177,13 +204,44 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), kind)
 
 
+def _pack_ints(x: np.ndarray) -> bytes:
+    """Integers from 0, byte by byte without the high bytes that are all 0."""
+    x = np.ascontiguousarray(x).view(np.uint64).ravel()
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + _pack(x.view(np.uint8).reshape(-1, 8)[:, :wide].T)
+
+
+def _ints(raw: bytes) -> np.ndarray:
+    planes = _unpack(raw[1:], np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return _pack_ints(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_ints(raw), dtype=np.uint64)
+
+
+def _trim() -> None:
+    """Gives the system back what the allocator holds of arrays that are gone, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _share(at: int, parts: list) -> pa.RecordBatch:
-    ids, xs, sizes, lines = zip(*parts)
-    vocab, x, n = np.unique(np.concatenate(xs), return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")  # frequent words first, so that the high bytes are mostly 0
+    ids, vocabs, ns, xs, sizes, lines = zip(*parts)
+    vocab, of = np.unique(np.concatenate(vocabs), return_inverse=True)
+    order = np.argsort(-np.bincount(of, np.concatenate(ns), len(vocab)), kind="stable")  # frequent words first, so that the high bytes are mostly 0
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    x = rank[x]
+    rank = np.split(rank[of], np.cumsum([len(v) for v in vocabs])[:-1])
+    x = np.concatenate([r[x] for r, x in zip(rank, xs)])
     planes = x.view(np.uint8).reshape(-1, 4).T  # byte by byte, which packs best
     raw = [_pack(planes), _pack(np.concatenate(sizes).astype(np.int32)), _pack(np.concatenate(lines).astype(np.int64))]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays(ids), pa.array(vocab[order].view(np.int64)))]
@@ -198,11 +256,13 @@ def _read(docs: DataFrame, symbols: int | None = None) -> DataFrame:
         for batch in batches:
             for s in C.slices(batch):
                 x, size, lines = observe(s.buf, s.offs, symbols)
-                parts.append((s.rows.column("doc_id"), x, size, lines))
                 held += len(x)
+                vocab, x, n = np.unique(x, return_inverse=True, return_counts=True)
+                parts.append((s.rows.column("doc_id"), vocab, n, x.astype(np.uint32), size, lines))
                 if held >= SHARE:
                     yield _share(at, parts)
                     at, parts, held = at + 1, [], 0
+                    _trim()
         if parts:
             yield _share(at, parts)
 
@@ -211,6 +271,7 @@ def _read(docs: DataFrame, symbols: int | None = None) -> DataFrame:
 
 
 class _Texts(NamedTuple):
+    share: int
     ids: pa.Array
     vocab: np.ndarray
     x: np.ndarray
@@ -218,66 +279,117 @@ class _Texts(NamedTuple):
     lines: np.ndarray
 
 
+def _vocab(t, row: int) -> np.ndarray:
+    return t.column("vocab")[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _texts(t, row: int) -> _Texts:
     raw = lambda name, kind: _unpack(t.column(name)[row].as_py(), kind)
     x = np.ascontiguousarray(raw("words", np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    vocab = t.column("vocab")[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return _Texts(t.column("doc_id")[row].values, vocab, x, raw("sizes", np.int32), raw("lines", np.int64))
-
-
-def _over(read: DataFrame, m: Trained, states: int, step, schema: str) -> DataFrame:
-    """``step(model of the share's words, texts)`` for every share, to which the counts of its words are joined."""
-    start, moves, counts, total = m
-    names = [f"s{s}" for s in range(states)]
+    return _Texts(t.column("share")[row].as_py(), t.column("doc_id")[row].values, _vocab(t, row), x, raw("sizes", np.int32), raw("lines", np.int64))
+
+
+def _sent(share: int, vocab: np.ndarray, units: np.ndarray | None, few: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """A block for each part: the words of a share in the order of their keys, and their counts, whole numbers. Part -1 gets ``few``."""
+    keys = vocab * np.uint64(SPREAD)
+    by = np.argsort(keys)
+    keys = keys[by]
+    bounds = np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
+    cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)].tolist()
+    rows = [(k, share, _pack_keys(keys[a:b]), None if units is None else _pack_ints(units[by[a:b]].T.astype(np.int64))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    if few is not None:
+        rows.append((-1, share, _pack_keys(np.arange(len(few), dtype=np.uint64)), _pack_ints(few.T.astype(np.int64))))
+    return pa.record_batch([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [[]] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "share", "keys", "units"])
+
+
+def _parts(read: DataFrame) -> int:
+    return max(1, -(-(read.agg(F.sum(F.size("vocab"))).first()[0] or 0) // PART))
+
+
+def _sums(rows: DataFrame, states: int, whole: bool) -> DataFrame:
+    """Sums the blocks of each part. As SUMMED: for each share its words' sums in the order of their keys; for the part its words and their sums, if ``whole``, their number and totals (of part -1, all its sums)."""
+    def run(t: pa.Table) -> pa.Table:
+        _trim()
+        part, shares, blocks = t.column("part")[0].as_py(), t.column("share").to_pylist(), t.column("units")
+        keys = [_keys(x.as_py()) for x in t.column("keys")]
+        ends = np.r_[0, np.cumsum([len(x) for x in keys])].tolist()
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = np.zeros((len(known), states), np.int64)
+        for a, b, units in zip(ends, ends[1:], blocks):
+            if units.is_valid:  # a share's words differ
+                sums[at[a:b]] += _ints(units.as_py()).view(np.int64).reshape(states, -1).T
+        own = [(x, _pack_ints(sums[at[a:b]].T)) for a, b, x in zip(ends, ends[1:], shares) if x is not None and part >= 0]
+        total = sums.sum(0) if part >= 0 else sums.ravel()
+        n = len(own)
+        return pa.table({
+            "part": pa.array([part] * (n + 1), pa.int32()), "share": pa.array([x for x, _ in own] + [None], pa.int64()), "keys": pa.array([None] * n + [_pack_keys(known) if whole else None], pa.binary()),
+            "units": pa.array([x for _, x in own] + [_pack_ints(sums.T) if whole else None], pa.binary()), "n": pa.array([None] * n + [len(known)], pa.int64()), "total": pa.array([None] * n + [total.tolist()], pa.list_(pa.int64())),
+        })
+
+    return rows.groupBy("part").applyInArrow(run, SUMMED)
+
+
+def _table(m: Trained) -> DataFrame:
+    return m.summed.where("share is null and part >= 0").select("part", "share", "keys", "units")
+
+
+def _over(read: DataFrame, m: Trained, summed: DataFrame, step, schema: str, kind=np.float64) -> DataFrame:
+    """``step(model of the share's words, texts)`` for every share, with the sums that the parts sent it."""
+    start, moves, total = m.start, m.moves, m.total
 
     def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        _trim()
         t = _texts(texts, 0)
-        emit = np.zeros((len(t.vocab), states))
-        at = rows.column("i").to_numpy()
-        for s, name in enumerate(names):
-            emit[at, s] = rows.column(name).to_numpy()
-        return pa.Table.from_batches([step(Model(start, moves, (emit / UNIT + SMOOTH) / total), t)])
+        emit, a = np.empty((len(t.vocab), len(start)), kind), 0
+        by = np.argsort(t.vocab * np.uint64(SPREAD))
+        for i in np.argsort(rows.column("part").to_numpy()).tolist():
+            units = _ints(rows.column("units")[i].as_py()).reshape(len(start), -1).T
+            emit[by[a : a + len(units)]] = (units / UNIT + SMOOTH) / total
+            a += len(units)
+        if a != len(emit):
+            raise ValueError(f"share {t.share}: sums of {a} of {len(emit)} words")
+        return pa.Table.from_batches([step(Model(start, moves, emit), t)])
 
-    words = read.select(F.col("share").alias("of"), F.posexplode("vocab").alias("i", "h")).join(counts, "h").select("of", "i", *names)
-    return read.groupBy("share").cogroup(words.groupBy("of")).applyInArrow(run, schema)
+    rows = summed.where("share is not null").select(F.col("share").alias("of"), "part", "units")
+    return read.groupBy("share").cogroup(rows.groupBy("of")).applyInArrow(run, schema)
 
 
 def train(read: DataFrame, states: int = STATES, passes: int = PASSES) -> Trained:
     if passes < 1:
         raise ValueError("at least one pass")
-    names = [f"s{s}" for s in range(states)]
-    schema = "kind int, h long, " + ", ".join(f"{s} long" for s in names)
+    parts, first = _parts(read), initial(states)
 
     def count(m: Model, t: _Texts) -> pa.RecordBatch:
         starts, moves, emits = expected(m, t.x, t.size)
-        units = np.rint(np.concatenate((emits, moves, starts[None])) * UNIT).astype(np.int64)
-        kind = np.repeat([0, 1], [len(emits), states + 1]).astype(np.int32)
-        key = np.r_[t.vocab.view(np.int64), np.arange(states + 1)]
-        return pa.record_batch([pa.array(kind), pa.array(key), *(pa.array(units[:, s]) for s in range(states))], ["kind", "h", *names])
-
-    first = initial(states)
+        few = np.concatenate((moves, starts[None]))
+        for x in (emits, few):
+            x *= UNIT
+            np.rint(x, out=x)
+        return _sent(t.share, t.vocab, emits, few, parts)
 
     def begin(batches):
         for batch in batches:
             for row in range(batch.num_rows):
+                _trim()
                 t = _texts(batch, row)
-                yield count(Model(first.start, first.moves, drawn(t.vocab, states)), t)
-
-    m = old = None
-    for _ in range(passes):
-        rows = _over(read, m, states, count, schema) if m else read.mapInArrow(begin, schema)
-        sums = C.materialize(rows.groupBy("kind", "h").agg(*(F.sum(s).alias(s) for s in names)))
-        counts = sums.where("kind = 0").drop("kind")
-        n, *total = counts.agg(F.count("*"), *(F.coalesce(F.sum(s), F.lit(0)) for s in names)).first()
-        few = np.zeros((states + 1, states))
-        for h, *units in sums.where("kind = 1").drop("kind").collect():  # one row a state, and the starts
-            few[h] = units
+                yield count(Model(first.start, first.moves, drawn(t.vocab, states, kind=np.float32)), t)
+
+    m = None
+    for k in range(passes):
+        rows = _over(read, m, m.summed, count, SENT, np.float32) if m else read.mapInArrow(begin, SENT)
+        summed = C.materialize(_sums(rows, states, k == passes - 1))
+        few, n, total = np.zeros((states + 1, states)), 0, np.zeros(states, object)
+        for part, words, sums in summed.where("share is null").select("part", "n", "total").collect():  # one row a part
+            if part < 0:
+                few += np.array(sums).reshape(few.shape)
+            else:
+                n, total = n + words, total + np.array(sums, object)
         few = few / UNIT + SMOOTH
         moves, start = few[:-1], few[-1]
-        m = Trained(start / start.sum(), moves / moves.sum(1, keepdims=True), counts, np.array(total) / UNIT + SMOOTH * (n + 1))
+        old, m = m, Trained(start / start.sum(), moves / moves.sum(1, keepdims=True), total.astype(float) / UNIT + SMOOTH * (n + 1), parts, summed)
         del rows
-        _let_go(read, old)
-        old = sums
+        _let_go(read, old and old.summed)
     return m
 
 
@@ -292,6 +404,19 @@ def _let_go(read: DataFrame, old: DataFrame | None) -> None:
 
 
 def score(read: DataFrame, m: Trained) -> DataFrame:
+    """Scores the texts of ``read``, which needn't be those of the training."""
+    parts = m.parts
+
+    def ask(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _sent(batch.column("share")[row].as_py(), _vocab(batch, row), None, None, parts)
+
+    asked = read.select("share", "vocab").mapInArrow(ask, SENT)
+    return _scored(read, m, _sums(asked.unionByName(_table(m)), len(m.start), False))
+
+
+def _scored(read: DataFrame, m: Trained, summed: DataFrame) -> DataFrame:
     def run(m: Model, t: _Texts) -> pa.RecordBatch:
         text = np.repeat(np.arange(len(t.lines)), t.lines)
         n = np.bincount(text, t.size, len(t.lines)).astype(np.int64)
@@ -300,11 +425,12 @@ def score(read: DataFrame, m: Trained) -> DataFrame:
             ppl = np.exp(-ll / n)
         return pa.record_batch([t.ids, pa.array(n), pa.array(np.round(ll, 4)), pa.array(np.round(ppl, 4), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
 
-    return _over(read, m, len(m.start), run, "doc_id long, n_words long, log_likelihood double, perplexity double")
+    return _over(read, m, summed, run, "doc_id long, n_words long, log_likelihood double, perplexity double")
 
 
 def lm_scores(docs: DataFrame, states: int = STATES, symbols: int | None = None, passes: int = PASSES) -> DataFrame:
     """``doc_id, n_words, log_likelihood, perplexity`` for every row, by a model trained on all of them."""
     C.prepare(docs.sparkSession)
     read = _read(docs, symbols)
-    return score(read, train(read, states, passes))
+    m = train(read, states, passes)
+    return _scored(read, m, m.summed)

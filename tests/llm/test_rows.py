@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -231,6 +232,35 @@ def test_every_word_is_a_symbol_of_its_own(spark):
     assert np.allclose(with_unseen / m.total, 1)
 
 
+def test_shares_and_parts_exchange_blocks_and_train_like_one_table(spark, monkeypatch):
+    monkeypatch.setattr(hidden, "PART", 1500, raising=False)
+    C.prepare(spark)
+    texts = [prose(80_000 + i % 25, 200) for i in range(60)]
+    buf, offs = C.text_bytes(pa.array(texts))
+    x, size, lines = hidden.observe(buf, offs)
+    vocab, x = np.unique(x, return_inverse=True)
+    m = hidden.initial(3)._replace(emit=hidden.drawn(vocab, 3))
+    for _ in range(3):
+        starts, moves, emits = (y + hidden.SMOOTH for y in hidden.expected(m, x, size))
+        m = hidden.Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / (emits.sum(0) + hidden.SMOOTH))
+    want = np.bincount(np.repeat(np.arange(len(texts)), lines), hidden.log_likelihoods(m, x, size))
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    read = hidden._read(frame(spark, list(enumerate(texts))).repartition(8))
+    assert read.count() == 8
+    before = written()
+    trained = hidden.train(read, 3, 3)
+    assert written() - before < len(vocab)  # no row a word in any of the passes
+    assert trained.counts.count() == len(vocab) == len({r.h for r in trained.counts.collect()} & {*vocab.view(np.int64).tolist()})
+    for got in (hidden.score(read, trained), hidden.lm_scores(frame(spark, list(enumerate(texts))), 3, None, 3)):
+        assert np.allclose([r.log_likelihood for r in sorted(got.collect())], want, rtol=1e-4)
+
+
 # licenses
 
 
