@@ -13,19 +13,55 @@ from ..functions import html as H
 from ..functions.vocabulary import DEFAULT, Vocabulary
 
 
+#: Bytes of records that are packed as one block, and how.
+BLOCK = 4 << 20
+_PACKING = ("zstd", 9)
+
+
+def _packed(docs: DataFrame, column: str, order: str) -> DataFrame:
+    """``part, seq, size, data``: the rows joined in order within ranges, in compressed blocks; null counts as nothing."""
+    limit = BLOCK
+
+    def pack(batches):
+        codec, held, size, seq = pa.Codec(*_PACKING), [], 0, 0
+
+        def block():
+            data = b"".join(held)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([codec.compress(data, asbytes=True)], pa.binary())], ["part", "seq", "size", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(1)[0].as_py()
+            for v in batch.column(0):
+                if v.is_valid:
+                    held.append(v.as_buffer().to_pybytes())
+                    size += len(held[-1])
+                    if size >= limit:
+                        yield block()
+                        held, size, seq = [], 0, seq + 1
+        if size:
+            yield block()
+
+    ranged = docs.select(column, order).repartitionByRange(order).sortWithinPartitions(order)
+    return ranged.select(column, F.spark_partition_id().alias("_part")).mapInArrow(pack, "part int, seq bigint, size bigint, data binary")
+
+
 def solid_size(docs: DataFrame, column: str, order: str, level: int = 9) -> DataFrame:
-    """One row ``solid_bytes``: one gzip stream over all rows in order, which one task must make."""
+    """One row ``solid_bytes``: one gzip stream over all rows in order, which one task must make.
+
+    Rows are sorted in ranges and reach that task as compressed blocks.
+    """
 
     def run(batches):
-        c = zlib.compressobj(level, zlib.DEFLATED, 31)
+        c, codec = zlib.compressobj(level, zlib.DEFLATED, 31), pa.Codec(*_PACKING)
         total = 0
         for batch in batches:
-            for v in batch.column(0).to_pylist():
-                if v is not None:
-                    total += len(c.compress(v if isinstance(v, bytes) else v.encode()))
+            for size, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total += len(c.compress(codec.decompress(data.as_buffer(), size)))
         yield pa.record_batch([pa.array([total + len(c.flush())], pa.int64())], ["solid_bytes"])
 
-    return docs.select(column, order).repartition(1).sortWithinPartitions(order).select(column).mapInArrow(run, "solid_bytes bigint")
+    blocks = _packed(docs, column, order).repartition(1).sortWithinPartitions("part", "seq")
+    return blocks.select("size", "data").mapInArrow(run, "solid_bytes bigint")
 
 
 def writer_stats(docs: DataFrame, html: str = "html", encoded: str = "encoded") -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import struct
 import threading
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -379,6 +380,21 @@ def test_registry_cache(tmp_path):
     assert catalog.load_registry(str(source), cache) == {"a": {}}
 
 
+def test_solid_size_reads_packed_blocks(spark, monkeypatch):
+    """Exactly one gzip stream in order, of records that reach its task in packed blocks, not in rows."""
+    monkeypatch.setattr(metrics, "BLOCK", 5000)
+    r = random.Random(3)
+    rows = [(i, None if i % 50 == 7 else "".join(r.choice("abcd é<>") for _ in range(r.randrange(900)))) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(7)
+    c = zlib.compressobj(9, zlib.DEFLATED, 31)
+    want = sum(len(c.compress(v.encode())) for _, v in rows if v) + len(c.flush())
+    for df, column in ((pages, "html"), (pages.withColumn("html", F.encode("html", "UTF-8")), "html")):
+        assert [tuple(x) for x in metrics.solid_size(df, column, "page_id").collect()] == [(want,)]
+    packed = metrics._packed(pages, "html", "page_id").collect()
+    assert len(packed) < 100 and sum(x.size for x in packed) == sum(len(v.encode()) for _, v in rows if v)
+    assert sum(len(x.data) for x in packed) < 0.6 * sum(x.size for x in packed)
+
+
 def test_metrics(spark):
     pages = spark.createDataFrame([(i, f"<p class='a b'>text {i}<br>more</p>" * 3) for i in range(20)], "doc_idx long, html string")
     r = metrics.compression_report(pages).first()
