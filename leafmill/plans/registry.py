@@ -237,9 +237,9 @@ def archive_get(spark, d):
 @_query(S.ARCHIVE_INFO)
 def archive_info(spark, d):
     """Counts of an archive of pages, from the indexes of its files alone."""
-    pages = with_index(_pages(spark, d).select("page_id", T.encode_text("html").alias("encoded")), "page_id")
+    pages = _pages(spark, d).select("page_id", T.encode_text("html").alias("encoded"))
     path = scratch(spark)
-    archive.write_archive(pages, path, shards=1, level=3, maxBytes=1 << 40)
+    archive.write_single(pages, path, "page_id", level=3, maxBytes=1 << 40)
     i = archive.archive_info(spark, path)
     outside = F.col("file_bytes") - F.col("chunk_bytes")  # header, index and footer
     return i.select("docs", "chunks", "encoded_bytes", outside.alias("outside_bytes"), (F.col("chunk_bytes") < F.col("encoded_bytes")).alias("smaller"))

@@ -47,7 +47,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .files import Ranges, exists, folder_of, is_folder, is_url, join, listed, local, move, names, open_output, read_all, remove, replace
+from .files import Ranges, drop_folder, exists, folder_of, is_folder, is_local, is_url, join, listed, local, move, names, open_output, read_all, remove, replace
+from .folders import with_index
 
 MAGIC, VERSION, SUFFIX = b"LEAF", 2, ".leaves"
 MAX_DOCS, MAX_BYTES = 256, 2 << 20
@@ -387,6 +388,114 @@ def write_archive(docs: DataFrame, path: str, order: str = "doc_idx", shards: in
     ranged.sortWithinPartitions(order).select("encoded").write.format("leaves").mode(mode).options(**options).save(path)
 
 
+def write_single(docs: DataFrame, path: str, order: str, partition_bytes: int = PARTITION_BYTES, **options) -> None:
+    """Writes the column ``encoded`` in ascending ``order`` to a folder of one shard, which no single task makes.
+
+    Runs of about ``partition_bytes`` that begin at a multiple of ``maxDocs`` documents are
+    written by a task each, and joined. Where ``maxBytes`` closes chunks earlier, the last
+    chunk of a run may be short.
+    """
+    spark = docs.sparkSession
+    register(spark)
+    numbered = with_index(docs.where("encoded is not null").select(order, "encoded"), order, name="_at")
+    count, total = numbered.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("encoded")), F.lit(0))).first()
+    chunk = int(options.get("maxDocs", MAX_DOCS))
+    run = chunk * max(1, int(partition_bytes * count // (max(total, 1) * chunk)))
+    aside = join(path, f"_parts-{uuid.uuid4().hex}")
+    parts = numbered.repartitionById(max(1, -(-count // run)), F.floor(F.col("_at") / run).cast("int")).sortWithinPartitions("_at")
+    parts.select("encoded").write.format("leaves").mode("overwrite").options(**options).save(aside)
+    join_shards(spark, aside, path, options.get("magic", MAGIC.decode()).encode("latin-1"))
+    drop_folder(aside)
+
+
+#: Bytes that are copied at a time.
+_COPY = 8 << 20
+
+
+def _blocks(r: Ranges, lo: int, hi: int):
+    for at in range(lo, hi, _COPY):
+        yield r.read(at, min(_COPY, hi - at))
+
+
+def _moved_index(r: Ranges, magic: bytes, by: int) -> bytes:
+    return b"".join(_INDEX.pack(o + by, n, b) for o, n, b in read_index(r, magic)[0])
+
+
+def join_shards(spark: SparkSession, source: str, target: str, magic: bytes = MAGIC) -> None:
+    """The shards of a folder as one shard, the only one of ``target``.
+
+    On a file system of this machine or one that is mounted, a task for each shard copies its
+    chunks and its index to their places; elsewhere, where files can only be written in
+    order, one task copies them block by block. A shard may have no documents; the
+    dictionary of the first is kept.
+    """
+    known, head = manifest_of(source), _HEAD.size
+
+    def measure(batches):
+        for batch in batches:
+            rows = []
+            for shard in batch.column(0).to_pylist():
+                with Ranges(shard) as r:
+                    _, inside, at, _ = read_index(r, magic)
+                rows.append((shard, head + inside, at))
+            if rows:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["shard", "first", "last"])
+
+    shards = [join(source, s["shard"]) for s in known]
+    table = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(max(1, len(rows)))
+    found = {r.shard: r for r in table([(s,) for s in shards], "shard string").mapInArrow(measure, "shard string, first bigint, last bigint").collect()}  # a row for each shard
+    place = found[shards[0]].first if shards else head
+    chunks, bodies = sum(s["chunks"] for s in known), sum(found[s].last - found[s].first for s in shards)
+    index, start, plan = place + bodies, place, []
+    for s, k in zip(shards, known):
+        plan.append((s, found[s].first, found[s].last, start, index))
+        start, index = start + found[s].last - found[s].first, index + k["chunks"] * _INDEX.size
+    foot = _FOOT.pack(chunks, place + bodies)
+    name = f"part-000000-{uuid.uuid4().hex}{SUFFIX}"
+    made, seekable = join(target, name + ".new"), is_local(target)
+
+    def copy(rows) -> None:
+        for shard, first, last, start, index in rows:
+            with Ranges(shard) as source, open(local(made), "r+b") as f:
+                f.seek(start)
+                f.writelines(_blocks(source, first, last))
+                f.seek(index)
+                f.write(_moved_index(source, magic, start - first))
+
+    def copy_all(_) -> None:
+        with open_output(made) as f:
+            for shard, first, last, *_ in plan:
+                with Ranges(shard) as source:
+                    if f.tell() == 0:
+                        f.write(source.read(0, place))
+                    for block in _blocks(source, first, last):
+                        f.write(block)
+            for shard, first, _, start, _ in plan:
+                with Ranges(shard) as source:
+                    f.write(_moved_index(source, magic, start - first))
+            f.write(foot)
+
+    if plan and not seekable:
+        spark.sparkContext.parallelize([0], 1).foreachPartition(copy_all)
+    else:
+        with open_output(made) as f:
+            if plan:
+                with Ranges(shards[0]) as r:
+                    f.write(r.read(0, place))
+                f.seek(index)
+            else:
+                f.write(_HEAD.pack(magic, VERSION, 0))
+            f.write(foot)
+        if plan:
+            table(plan, "shard string, first bigint, last bigint, start bigint, index bigint").foreachPartition(copy)
+    move(made, join(target, name))
+    totals = {k: sum(s[k] for s in known) for k in ("docs", "chunks", "encoded_bytes")}
+    replace(join(target, MANIFEST), json.dumps({"shards": [{"shard": name} | totals]}).encode())
+    for n in names(target):
+        if n.endswith(SUFFIX) and n != name:
+            remove(join(target, n))
+
+
 def archive_info(spark: SparkSession, path: str, **options) -> DataFrame:
     """One row: documents, chunks, bytes of the files and of their chunks alone, encoded bytes, ratio of the files to these, per cent saved by the chunks.
 

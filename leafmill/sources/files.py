@@ -106,6 +106,11 @@ def remove(path: str) -> None:
     system.delete_file(at)
 
 
+def drop_folder(path: str) -> None:
+    system, at = filesystem(path)
+    system.delete_dir(at)
+
+
 def names(folder: str) -> list[str]:
     """Names of the files right in a folder; none where there is no folder."""
     from pyarrow import fs

@@ -53,6 +53,31 @@ def test_filters_leave_chunks_unread(spark, kept, wanted):
     assert sorted(r.doc_idx for r in df.collect()) == sorted(r.id for r in spark.range(600).where(wanted.replace("doc_idx", "id")).collect())
 
 
+@pytest.mark.parametrize("mounted,embed", [(True, False), (True, True), (False, False)])
+def test_a_single_shard_is_made_by_several_tasks(spark, docs, tmp_path, monkeypatch, mounted, embed):
+    """Byte for byte the file that one task writes, of runs that are a task each."""
+    options = {"level": 3, "maxBytes": 1 << 40}
+    if embed:
+        (tmp_path / "d").write_bytes(b"<p>page </p>" * 50)
+        options |= {"dictionaryPath": str(tmp_path / "d"), "embedDictionary": "true"}
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    archive.write_archive(docs, one, shards=1, **options)
+    monkeypatch.setattr(archive, "is_local", lambda path: mounted)
+    written, joined = [], archive.join_shards
+    monkeypatch.setattr(archive, "join_shards", lambda s, source, *a: (written.extend(archive.manifest_of(source)), joined(s, source, *a)))
+    with_null = docs.union(spark.createDataFrame([(10**6, None)], docs.schema))
+    archive.write_single(with_null, many, "doc_idx", partition_bytes=1000, **options)
+    assert [s["docs"] for s in written] == [256, 256, 88]
+    data = []
+    for path in (one, many):
+        (shard,) = archive.shards_of(path)
+        data.append(files.read_all(shard))
+    assert data[0] == data[1] and sorted(os.listdir(many))[0] == archive.MANIFEST and len(os.listdir(many)) == 2
+    assert archive.read_archive(spark, many).count() == 600
+    archive.write_single(docs.where("doc_idx < 0"), many, "doc_idx")
+    assert archive.read_archive(spark, many).count() == 0 and len(os.listdir(many)) == 2
+
+
 def test_appending_shards(spark, docs, tmp_path):
     path = str(tmp_path / "a")
     archive.write_archive(docs.where("doc_idx < 10"), path, level=3, shards=1)
