@@ -21,17 +21,20 @@ from .vocabulary import DEFAULT, Vocabulary
 
 NODE_DDL = "seq int, op tinyint, tag string, attrs array<struct<name:string,value:string>>, payload string"
 _NODE_NAMES = ("seq", "op", "tag", "attrs", "payload")
-#: Pages whose nodes make a batch.
+#: Pages whose nodes make a batch, and values that are Python objects at a time.
 PAGES = 256
+_ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
 
 
 def _mapped(f, kind: str):
-    """A pandas UDF that applies ``f`` to what isn't null."""
+    """An Arrow UDF that applies ``f`` to what isn't null, slice by slice, so that a batch isn't held as objects."""
+    to = _ARROW[kind]
 
-    def run(col: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else f(v) for v in col], dtype=object)
+    def run(col: pa.Array) -> pa.Array:
+        done = [pa.array((None if v is None else f(v) for v in col.slice(at, PAGES).to_pylist()), to) for at in range(0, len(col), PAGES)]
+        return pa.concat_arrays(done) if done else pa.array([], to)
 
-    return F.pandas_udf(run, kind)
+    return F.arrow_udf(run, kind)
 
 
 def _lenient(f, strict: bool):

@@ -1,7 +1,9 @@
 import gzip
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,3 +161,15 @@ def test_strict_text():
     blob = c.encode("<p>hello</p>")
     with pytest.raises(codec.CorruptDocument):
         c.text(blob[:4] + bytes([99]) + blob[5:], strict=True)
+
+
+def test_a_batch_is_not_held_as_objects(spark):
+    """A batch of 20 MB goes through a function on columns with few of its values as Python objects at a time."""
+    col = pa.array([str(i % 10) * 10_000 for i in range(2000)])
+    tracemalloc.start()
+    try:
+        out = H._mapped(str.upper, "string").func(col)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pa.array(out).equals(col) and most < 10e6
