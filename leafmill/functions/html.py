@@ -23,7 +23,10 @@ NODE_DDL = "seq int, op tinyint, tag string, attrs array<struct<name:string,valu
 _NODE_NAMES = ("seq", "op", "tag", "attrs", "payload")
 #: Pages whose nodes make a batch, and values that are Python objects at a time.
 PAGES = 256
-_ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+_ARROW = {
+    "string": pa.string(), "binary": pa.binary(), "long": pa.int64(),
+    "struct<encoded_bytes:bigint,decoded:string>": pa.struct([("encoded_bytes", pa.int64()), ("decoded", pa.string())]),
+}
 
 
 def _mapped(f, kind: str):
@@ -64,6 +67,18 @@ def decode_html(encoded, vocabulary: Vocabulary = DEFAULT, strict: bool = False)
     return _mapped(_lenient(lambda v: c.decode(v, strict), strict), "string")(encoded)
 
 
+def recode_html(html, vocabulary: Vocabulary = DEFAULT, strict: bool = False) -> Column:
+    """``encoded_bytes, decoded``: the size of an encoded page and what comes back; the page is encoded once and only the size returned."""
+    c = codec.Codec(vocabulary)
+    encode, decode = _lenient(c.encode, strict), _lenient(lambda v: c.decode(v, strict), strict)
+
+    def run(v):
+        e = encode(v)
+        return None if e is None else {"encoded_bytes": len(e), "decoded": decode(e)}
+
+    return _mapped(run, "struct<encoded_bytes:bigint,decoded:string>")(html)
+
+
 def decode_text(encoded, vocabulary: Vocabulary = DEFAULT, strict: bool = False) -> Column:
     """Readable text of an encoded page or text, without making HTML of it."""
     c = codec.Codec(vocabulary)

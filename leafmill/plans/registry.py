@@ -143,8 +143,8 @@ def html_roundtrip(spark, d):
 
 @_query()
 def encoded_html(spark, d):
-    e = _pages(spark, d).select("page_id", F.octet_length("html").cast("long").alias("raw_bytes"), H.encode_html("html").alias("e"))
-    return e.select("page_id", "raw_bytes", F.octet_length("e").cast("long").alias("encoded_bytes"), F.sha2(H.decode_html("e"), 256).alias("decoded_sha256"))
+    e = _pages(spark, d).select("page_id", F.octet_length("html").cast("long").alias("raw_bytes"), H.recode_html("html").alias("e"))
+    return e.select("page_id", "raw_bytes", "e.encoded_bytes", F.sha2("e.decoded", 256).alias("decoded_sha256"))
 
 
 @_query(S.DECODED_TEXT)

@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 import random
 import tracemalloc
 
@@ -173,3 +174,19 @@ def test_a_batch_is_not_held_as_objects(spark):
     finally:
         tracemalloc.stop()
     assert pa.array(out).equals(col) and most < 10e6
+
+
+def test_recoding_encodes_once(spark):
+    wide = "<p " + " ".join(f"a{i}" for i in range(300)) + ">"  # can't be encoded
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate([*GOLDEN, wide, None])], "page_id long, html string")
+    e = pages.select("page_id", H.encode_html("html").alias("e")).select("page_id", F.octet_length("e").alias("n"), H.decode_html("e").alias("back"))
+    r = pages.select("page_id", H.recode_html("html").alias("r")).select("page_id", "r.encoded_bytes", "r.decoded")
+    assert sorted(map(tuple, r.collect())) == sorted(map(tuple, e.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_encoded_html_has_one_python_function(spark):
+    from leafmill.plans import registry
+
+    plan = registry.encoded_html(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan and "run(run(" not in plan
